@@ -9,10 +9,18 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm import exact_dedup, simhash
-from ridgeline.llm.common import documents, shared_dir
+from ridgeline.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from ridgeline.llm.common import crc_mod, documents, shared_dir
+from ridgeline.llm.entries import BYTE_TOKENS
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
+    return language_id.keep_identified(docs, model)
 
 
 def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +31,20 @@ def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.near_dedup(docs)
 
 
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(BYTE_TOKENS))
+
+
 STAGES = [
+    ("language_id", identify_language),
     ("exact_dedup", dedup_exactly),
     ("simhash_dedup", dedup_nearly),
+    ("decontaminate", decontaminate_benchmark),
+    ("packing", pack_sequences),
 ]
 
 #: Fingerprints, embeddings and the packing of token ids are beyond SQL.
