@@ -1,14 +1,16 @@
 """SimHash near-dedup by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most
-three bits differ by at most one bit in two of the three segments (pigeonhole). Each segment
-is decoded with the perfect (23, 12) Golay code: every 23-bit word lies within three bits of
-one codeword; words at distance three have five more codewords at distance four. If two
+A 64-bit fingerprint is cut into four segments of 16 bits. Of two fingerprints that differ in
+at most three bits, either two segments are equal, or one is equal and each of the other three
+differs in one bit (pigeonhole). For the first case every pair of whole segments is a key of
+32 bits. For the second the key is a whole segment and the codewords of the next two: each is
+decoded with the perfect (23, 12) Golay code, where every 23-bit word lies within three bits
+of one codeword, and words at distance three have five more codewords at distance four. If two
 words differ in one bit, the nearest codeword of either is among the codewords within four
-bits of the other. So for each pair of segments one side is keyed by (codewords near the
-first, nearest of the second) and the other by (nearest of the first, codewords near the
-second); every link meets on some key. Spark joins the sides on the key and verifies the
-distance in the join.
+bits of the other. So one side is keyed by (whole, codewords near the second, nearest of the
+third) and the other by (whole, nearest of the second, codewords near the third), 40 bits;
+every link meets on some key. Spark joins the sides on the key and verifies the distance in
+the join.
 
 Only distinct fingerprints are keyed, so copies cost nothing. In a dense bucket all members
 within three bits of the bucket's smallest fingerprint are linked to it once; a pair of such
@@ -24,6 +26,7 @@ empty table gives an empty table. Extra columns travel inside a struct.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,8 @@ from ridgeline.llm.common import checkpointed, written
 
 SHINGLE = 3
 DISTANCE = 3
-#: (first bit, bits) of each segment, lowest bits first.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+SEGMENTS = 4
+BITS = 64 // SEGMENTS
 #: Generator polynomial of the binary Golay code, a fixed value.
 GOLAY_POLY = 0b110001110101
 
@@ -99,7 +101,7 @@ class Golay:
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
-    """`prints(fp)` to (key, side, fp)."""
+    """`prints(fp)` to (key, side, fp); side 2 stands on both sides."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = Golay()
@@ -107,12 +109,16 @@ def golay_keys(prints: DataFrame) -> DataFrame:
             fps = batch["fp"].to_numpy(dtype=np.int64)
             for at in range(0, len(fps), 8192):
                 part = fps[at : at + 8192]
-                near = [code.keys((part.view(np.uint64) >> np.uint64(lo)).astype(np.int64) & ((1 << n) - 1)) for lo, n in SEGMENTS]
-                for p, (a, b) in enumerate(PAIRS):
-                    for side, many, one in ((0, near[a], near[b]), (1, near[b], near[a])):
+                whole = [(part.view(np.uint64) >> np.uint64(BITS * s)).astype(np.int64) & ((1 << BITS) - 1) for s in range(SEGMENTS)]
+                near = [code.keys(w) for w in whole]
+                for p, (a, b) in enumerate(combinations(range(SEGMENTS), 2)):
+                    yield pd.DataFrame({"key": (p << 2 * BITS) | (whole[a] << BITS) | whole[b], "side": np.int32(2), "fp": part})
+                for a in range(SEGMENTS):
+                    b, c = (a + 1) % SEGMENTS, (a + 2) % SEGMENTS
+                    for side, many, one in ((0, near[b], near[c]), (1, near[c], near[b])):
                         row, col = np.nonzero(many >= 0)
                         high, low = (many[row, col], one[row, 0]) if side == 0 else (one[row, 0], many[row, col])
-                        yield pd.DataFrame({"key": (p << 24) | (high << 12) | low, "side": np.int32(side), "fp": part[row]})
+                        yield pd.DataFrame({"key": (SEGMENTS + a << 40) | (whole[a][row] << 24) | (high << 12) | low, "side": np.int32(side), "fp": part[row]})
 
     return prints.mapInPandas(of, "key long, side int, fp long")
 
@@ -125,11 +131,11 @@ def links(prints: DataFrame) -> DataFrame:
     # only keys with rows on both sides and two fingerprints can link
     live = keyed.groupBy("key").agg(
         F.min("fp").alias("pivot"), F.max("fp").alias("top"), F.min("side").alias("s0"), F.max("side").alias("s1")
-    ).where("pivot < top and s0 < s1").select("key", "pivot")
+    ).where("pivot < top and (s0 < s1 or s0 = 2)").select("key", "pivot")
     rows = written(keyed.join(live, "key").select("key", "side", "fp", "pivot", (far("fp", "pivot") <= DISTANCE).alias("near")), "golay-rows")
     to_pivot = rows.where("near and fp <> pivot").select(F.col("fp").alias("src"), F.col("pivot").alias("dst"))
-    a = rows.where("side = 0").select("key", F.col("fp").alias("src"), F.col("near").alias("near_a"))
-    b = rows.where("side = 1").select("key", F.col("fp").alias("dst"), F.col("near").alias("near_b"))
+    a = rows.where("side <> 1").select("key", F.col("fp").alias("src"), F.col("near").alias("near_a"))
+    b = rows.where("side <> 0").select("key", F.col("fp").alias("dst"), F.col("near").alias("near_b"))
     others = a.join(b, "key").where(
         (F.col("src") < F.col("dst")) & ~(F.col("near_a") & F.col("near_b")) & (far("src", "dst") <= DISTANCE)
     ).select("src", "dst")
