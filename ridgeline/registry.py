@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import arrival, base, ground  # noqa: F401  (modules register their queries)
+from ridgeline.plans import arrival, base, ground, mapping, merit, physics  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict[str, base.Query]:
