@@ -3,6 +3,9 @@ zones, curves, run records, digests, outlines."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,17 @@ DEFAULT_CELL_DEG = 1 / 3600
 PLACE_RANK = {"city": 0, "town": 1, "village": 2}
 
 
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared checkpoint folder, set to one of our own where the session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        base = sc.getCheckpointDir()
+    return f"{base}/ridgeline/{what}-{uuid.uuid4().hex}"
+
+
 def grid_geometry(dem: DataFrame, origin_lat: float, origin_lon: float, cell_deg: float | None = None, file_cell_deg: float | None = None) -> DataFrame:
     """One row for each region: sizes in pixels and metres; longitude scale at the centre."""
     cell, source = (cell_deg, "given") if cell_deg else (file_cell_deg, "file") if file_cell_deg else (DEFAULT_CELL_DEG, "assumed")
