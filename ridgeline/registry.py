@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import accounts, arrival, base, ground, mapping, merit, overlay, physics  # noqa: F401  (modules register their queries)
+from ridgeline.plans import accounts, arrival, base, ground, mapping, merit, overlay, physics, search  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict[str, base.Query]:
