@@ -1,10 +1,11 @@
 """Token ids of whole texts, packed as little-endian unsigned 16-bit integers.
 
 The tokenizers library encodes every distinct unit once per worker; a unit is a stretch of
-text that the pre-tokenizer never joins with its neighbours. Units are cached with their
-packed ids, in a cache of bounded size. Texts with characters or white space for which units
-would not be independent go to the library whole. Both ways give the library's own ids
-(tests compare them).
+text that the pre-tokenizer never joins with its neighbours. The commonest units (those met
+first) are kept with their packed ids in a cache of bounded size. A unit of letters alone is
+one pre-token, so the library's model splits it directly; other units, and whole texts with
+characters or white space for which units would not be independent, take the library's full
+way. All ways give the library's own ids (tests compare them).
 
 Strings of special tokens within a text are ordinary text.
 """
@@ -13,11 +14,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_UNITS = 300_000
+CACHE_UNITS = 400_000
 
 #: Letters, digits and marks of ASCII and of the Latin blocks up to U+017F.
 _PLAIN = r"\x21-\x7e\xa1-\xac\xae-ſ"
@@ -27,52 +29,82 @@ _WORDS_APART = re.compile(rf"[\x20\n\t\r{_PLAIN}]*")
 _BLANKS_APART = re.compile(rf"[{_PLAIN}]+(?:[\x20\n][{_PLAIN}]+)*")
 
 
-class Encoder(dict):
-    """encode(text) gives packed ids. `byte_level`: the vocabulary keeps blanks within tokens."""
+def _byte_letters() -> dict[int, str]:
+    """Each character of the plain range as byte-level vocabularies write its UTF-8 bytes:
+    printable bytes stand for themselves, the others for the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    letter = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x20, 0x180)}
 
-    def __init__(self, path: str) -> None:
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Units(dict):
+    """Word to packed ids, of the word after `before` (a blank or nothing)."""
+
+    def __init__(self, library: Tokenizer, before: str) -> None:
         super().__init__()
+        self.library, self.model, self.before = library, library.model, before
+        self.lead = before.translate(_BYTE_LETTERS)
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(".,;:!?")
+        if core.isalpha():
+            letters = core if core.isascii() else core.translate(_BYTE_LETTERS)
+            packed = self._pack([t.id for t in self.model.tokenize(self.lead + letters)])
+            if core != word:
+                packed += self.marks(word[len(core) :])
+        else:
+            packed = self.whole(self.before + word)
+        if len(self) < CACHE_UNITS:
+            self[word] = packed
+        return packed
+
+    def marks(self, marks: str) -> bytes:
+        """Marks behind a word: a pre-token of their own, without the blank."""
+        key = "\n" + marks
+        if key not in self:
+            self[key] = self.whole(marks)
+        return self[key]
+
+    def whole(self, text: str) -> bytes:
+        return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        packed = array("H", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+
+class Encoder:
+    """encode(text) gives packed ids."""
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
-        self.byte_level = self.library.normalizer is None
+        self.keeps_blanks = self.library.normalizer is None
+        self.bare, self.spaced = _Units(self.library, ""), _Units(self.library, " ")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
-        packed = self[unit] = self._unit(unit)
-        return packed
-
-    def _unit(self, unit: str) -> bytes:
-        """A word with marks behind it is the word's ids, then the marks'."""
-        word = unit.rstrip(".,;:!?")
-        if word and word != unit and word[-1].isalpha():
-            return self[word] + self[unit[len(word) :]]
-        return self.whole(unit)
+        return self.bare.whole(text)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.byte_level:
-            if not _WORDS_APART.fullmatch(text):
-                return self.whole(text)
-            return b"".join(map(self.__getitem__, text.lower().split()))
+        if not self.keeps_blanks:
+            return b"".join(map(self.bare.__getitem__, text.lower().split())) if _WORDS_APART.fullmatch(text) else self.whole(text)
         if not _BLANKS_APART.fullmatch(text):
             return self.whole(text)
-        lines = text.split("\n")
-        parts = []
-        for k, line in enumerate(lines):
-            if k:
-                parts.append(self["\n"])
-            first, *rest = line.split(" ")
-            parts.append(self[first])
-            parts.extend(map(self.__getitem__, [f" {w}" for w in rest]))
-        return b"".join(parts)
+        newline = self.bare.marks("\n")
+        lines = [line.split(" ") for line in text.split("\n")]
+        return newline.join([self.bare[ws[0]] + b"".join(map(self.spaced.__getitem__, ws[1:])) for ws in lines])
 
 
 _ENCODERS: dict[str, Encoder] = {}
