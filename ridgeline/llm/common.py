@@ -53,13 +53,18 @@ def hashable(df: DataFrame) -> list[str]:
     return [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString() and not isinstance(f.dataType, T.VariantType)]
 
 
+def in_hash_sample(key: Column, bound: int, salt: int, count: int) -> Column:
+    """Whether a row is among about `bound` of `count`, by a hash of `key`."""
+    if count <= bound:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 20)) < F.lit(int(bound / count * (1 << 20)) + 1)
+
+
 def hash_sample(df: DataFrame, key: Column, bound: int, salt: int, count: int | None = None) -> DataFrame:
     """About `bound` rows, at most twice as many, chosen by a hash of `key`: repeatable and
     without a sort. Only for fitting models."""
     n = df.count() if count is None else count
-    if n > bound:
-        df = df.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 20)) < F.lit(int(bound / n * (1 << 20)) + 1))
-    return df.limit(2 * bound)
+    return df.where(in_hash_sample(key, bound, salt, n)).limit(2 * bound)
 
 
 def crc_mod(key: Column, n: int) -> Column:

@@ -4,8 +4,10 @@ A text is the average of the embeddings of its hashed byte n-grams (letters lowe
 other ASCII a blank); a linear softmax reads the language from it. Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on a bounded hash sample of labelled
 rows (`train_rows`, texts of at most `train_chars` characters). A part of the sample that the
-descent does not see sets the temperature and the rejection level: the level below which at
-most `reject_rate` of known texts would fall (conformal, so with few rows none is rejected).
+descent does not see sets the temperature. All labelled rows outside the sample, scored whole in
+Spark, set the rejection level: the level below which at most `reject_rate` of known texts fall.
+It is conformal: with fewer than 1 / `reject_rate` such rows none is rejected for its score. If the
+labelled rows are at least twice as many, at most half of them are sampled, so that a level exists.
 
 For scoring the two layers are one table of bucket by language, broadcast (0.5 MB).
 
@@ -25,12 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hash_sample
+from ridgeline.llm.common import hash_sample, in_hash_sample
 
 BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (2, 3, 4)
 SLICE = 1 << 20
+#: Steps of the scores that set the rejection level.
+STEPS = 1 << 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -123,11 +127,31 @@ def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, rejec
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5000,
-        train_chars: int = 20_000) -> Model:
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= train_chars)).select(
+        train_chars: int = 20_000, reject_rate: float = 5e-4) -> Model:
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = hash_sample(rows, F.col("id"), train_rows, 4, rows.select("lang").count())
-    return train([(r["text"], r["lang"]) for r in rows.collect()])
+    short = F.length("text") <= train_chars
+    n, every = rows.agg(F.count_if(short), F.count(F.lit(1))).first()
+    bound = min(train_rows, every // 2) if every >= 2 / reject_rate else train_rows
+    sample = hash_sample(rows.where(short), F.col("id"), bound, 4, n)
+    model = train([(r["text"], r["lang"]) for r in sample.collect()], reject_rate=reject_rate)
+    if model.langs and every > 1 / reject_rate:
+        outside = rows.where(~(short & in_hash_sample(F.col("id"), bound, 4, n)))
+        model.level = rejection_level(model, outside, reject_rate) or model.level
+    return model
+
+
+def rejection_level(model: Model, rows: DataFrame, reject_rate: float) -> float:
+    """The largest step of the scores with fewer than reject_rate * (n + 1) of the n texts below it."""
+    found = rows.select(identify(model, F.col("text"))["score"].alias("score")).where("score > 0")  # 0: no letter
+    counts = sorted(map(tuple, found.groupBy(F.floor(F.col("score") * STEPS).alias("step")).count().collect()))  # at most STEPS + 1 rows
+    left = int(reject_rate * (sum(n for _, n in counts) + 1))
+    if left:
+        for step, n in counts:
+            left -= n
+            if left <= 0:
+                return step / STEPS
+    return 0.0
 
 
 def identify(model: Model, text: Column) -> Column:

@@ -93,6 +93,28 @@ def test_language_scoring(spark, docs_of):
     assert language_id.keep_identified(docs.limit(0), model).count() == 0
 
 
+def test_language_stage_rejects_gibberish_with_its_defaults(spark, docs_of):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    syllables = {"en": ["the", "ing", "and", "er"], "de": ["sch", "ung", "ein", "ö"]}
+    make = lambda lang: " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(12))
+    clean = [(i, make(lang := "en" if i % 2 else "de"), lang) for i in range(7000)]
+    odd = [(10_000, "qzx vkjw pqtr zzxg wvvk", None), (10_002, "Привет как дела сегодня", None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs_of(clean + odd), "").select("doc_id").collect()}
+    assert not kept & {10_000, 10_002}
+    assert len(kept) >= 0.998 * len(clean)
+
+
+def test_language_level_is_the_quantile_of_the_rows_outside_the_sample(spark, docs_of):
+    model = language_id.train([("the and ing", "en"), ("sch ung ein", "de")] * 5)
+    texts = [f"the {'and ' * (i % 40)} {'ung ' * (i % 7)} x{i}x" for i in range(300)]
+    scores = sorted(model.predict(t)[1] for t in texts)
+    level = language_id.rejection_level(model, docs_of(list(enumerate([*texts, None, "12"]))), 0.1)
+    assert level <= scores[29] < level + 1 / language_id.STEPS
+    assert language_id.rejection_level(model, docs_of(list(enumerate(texts))), 1e-3) == 0.0
+
+
 def brute_hits(text, items, window):
     ws, hit, found = decontaminate.words(text), set(), set()
     for item, body in items:
