@@ -12,6 +12,12 @@ windows sum exactly. The deficits x - A_i(w) are thus known for every window wit
 over the windows before it, and each task lays out its own documents from the 32 queue totals
 and the queue offsets of its partition: deficits carry across partitions too.
 
+Where sources share a stream, its documents are ordered by their place in their own source: the
+tokens before them as a fraction of the source's, plus a part of their own that a hash of the
+source gives, so that sources of one document are spread too. Up to any place of the stream each
+source has thus had its share of tokens to within about a document, whatever their number. Only
+these documents are shuffled, by range.
+
 The tokens after the last full window are cut into sequences whose lengths are powers of two,
 so no padding is written at all.
 
@@ -51,25 +57,25 @@ def queue_names(docs: DataFrame, source_col: str) -> list[str | None]:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, names: list[str | None], source_col: str) -> DataFrame:
-    """(part, queue, local_start, n, doc_id, ids): local_start counts the queue's ids in this part."""
+    """(part, queue, source, local_start, n, doc_id, ids): local_start counts the source's ids in this part."""
     place = {name: k for k, name in enumerate(names)}
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, part = encoder(path).encode, np.array([end_id], dtype="<u2").tobytes(), TaskContext.get().partitionId()
-        seen = [0] * (len(names) + 1)
+        seen: dict[str | None, int] = {}
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 rows = batch.iloc[at : at + 1000]
                 ids = [encode(t if isinstance(t, str) else None) + end for t in rows["text"]]
-                queues = [place.get(s if isinstance(s, str) else None, len(names)) for s in rows["source"]]
+                sources = [s if isinstance(s, str) else None for s in rows["source"]]
                 starts = []
-                for q, x in zip(queues, ids, strict=True):
-                    starts.append(seen[q])
-                    seen[q] += len(x) // 2
-                yield pd.DataFrame({"part": part, "queue": queues, "local_start": starts, "n": [len(x) // 2 for x in ids],
+                for s, x in zip(sources, ids, strict=True):
+                    starts.append(seen.get(s, 0))
+                    seen[s] = starts[-1] + len(x) // 2
+                yield pd.DataFrame({"part": part, "queue": [place.get(s, len(names)) for s in sources], "source": pd.Series(sources, dtype=object), "local_start": starts, "n": [len(x) // 2 for x in ids],
                                     "doc_id": rows["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "ids": ids})
 
-    return docs.mapInPandas(of, "part int, queue int, local_start long, n long, doc_id long, ids binary")
+    return docs.mapInPandas(of, "part int, queue int, source string, local_start long, n long, doc_id long, ids binary")
 
 
 class Mixture:
@@ -147,6 +153,34 @@ def streams(totals: dict[int, int]) -> dict[int, int]:
     return {q: k for k, (_, qs) in enumerate(groups) for q in qs}
 
 
+def spread(tokens: DataFrame, sums: DataFrame) -> DataFrame:
+    """(doc_id, stream, at, n, ids) of the documents of shared streams, each source spread evenly."""
+    source, order = Window.partitionBy("source"), ["stream", "place", "source", "start"]
+    before = F.sum("n").over(source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col("part").alias("p"), F.col("source").alias("s"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(source).alias("total"))
+    rows = tokens.join(sums, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    start, phase = F.col("before") + F.col("local_start"), F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    rows = rows.select("stream", ((start + phase * F.col("n")) / F.col("total")).alias("place"), "source", start.alias("start"), "n", "doc_id", "ids")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            starts = []
+            for k, n in zip(batch["stream"].tolist(), batch["n"].tolist(), strict=True):
+                starts.append(seen.get(k, 0))
+                seen[k] = starts[-1] + n
+            yield pd.DataFrame({"part": part, "stream": batch["stream"], "local_start": starts, "n": batch["n"],
+                                "doc_id": batch["doc_id"], "ids": batch["ids"]})
+
+    counted = written(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        count, "part int, stream int, local_start long, n long, doc_id string, ids binary"), "packing-spread")
+    before = F.sum("n").over(Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counted.groupBy("part", "stream").agg(F.sum("n").alias("n")).select("part", "stream", F.coalesce(before, F.lit(0)).alias("before"))
+    return counted.join(F.broadcast(offsets), ["part", "stream"]).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "stream", (F.col("before") + F.col("local_start")).alias("at"), "n", "ids")
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          with_ids: bool = True) -> DataFrame:
     """Pieces of documents with their place, and the ids themselves if `with_ids`."""
@@ -156,20 +190,19 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", te
     if rows.rdd.getNumPartitions() > MAX_PARTS:
         rows = rows.coalesce(MAX_PARTS)
     tokens = written(tokenised(rows, path, end_id, names, "source"), "packing-ids")
-    sums = written(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "packing-sums")
+    sums = written(tokens.groupBy("part", "queue", "source").agg(F.sum("n").alias("n")), "packing-sums")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows
     of = streams(totals)
     mixture = Mixture([sum(n for q, n in totals.items() if of[q] == k) for k in range(max(of.values(), default=-1) + 1)])
-    stream_of, base, seen = {}, {}, {}
-    for q in sorted(totals):
-        stream_of[q], base[q] = of[q], seen.get(of[q], 0)
-        seen[of[q]] = base[q] + totals[q]
-    queue_table = docs.sparkSession.createDataFrame([(q, stream_of[q], base[q]) for q in totals], "queue int, stream int, base long")
+    shared = {q for q in totals if q == len(names) or sum(of[other] == of[q] for other in totals) > 1}
+    queue_table = F.broadcast(docs.sparkSession.createDataFrame([(q, of[q]) for q in totals], "queue int, stream int"))
+    alone, among = ~F.col("queue").isin(*shared), F.col("queue").isin(*shared)
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("part", "queue", F.coalesce(before, F.lit(0)).alias("before")).join(F.broadcast(queue_table), "queue").select(
-        "part", "queue", "stream", (F.col("base") + F.col("before")).alias("base"))
-    placed = tokens.join(F.broadcast(offsets), ["part", "queue"]).select(
+    offsets = sums.where(alone).select("part", "queue", F.coalesce(before, F.lit(0)).alias("base")).join(queue_table, "queue")
+    placed = tokens.where(alone).join(F.broadcast(offsets), ["part", "queue"]).select(
         "doc_id", "stream", (F.col("base") + F.col("local_start")).alias("at"), "n", "ids")
+    if shared:
+        placed = placed.unionByName(spread(tokens.where(among).join(queue_table, "queue"), sums.where(among)))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

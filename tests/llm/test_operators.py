@@ -209,6 +209,28 @@ def test_packing_places_every_id_once(spark, docs_of):
     assert packing.pack(docs_of([]), path).count() == 0
 
 
+def test_packing_spreads_each_of_many_sources(spark, docs_of):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    long = [(k * 100 + i, f"source {k} text {i} of several words", "en", f"s{k:03}" if k else None) for k in range(130) for i in range(40)]
+    single = [(1 << 60 | k, "a source of one text only", "en", f"z{k}") for k in range(400)]
+    got = packing.pack(docs_of([*long, *single]), path, with_ids=False).select("doc_id", "sequence_id", "offset", "length", "doc_tokens").collect()
+    assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    assert {r["doc_id"] for r in got} == {d for d, *_ in long + single}
+    full = max(r["sequence_id"] for r in got if r["offset"] + r["length"] == packing.WINDOW)
+    source = {d: s for d, _, _, s in long}
+    for cut in np.linspace(0, full, 9)[1:-1].astype(int):
+        share, done = (cut + 1) * packing.WINDOW / sum(r["length"] for r in got), {}
+        for r in got:
+            if r["sequence_id"] <= cut:
+                s = source.get(r["doc_id"], "single")
+                done[s] = done.get(s, 0) + r["length"]
+        every = {}
+        for r in got:
+            s = source.get(r["doc_id"], "single")
+            every[s] = every.get(s, 0) + r["length"]
+        assert all(abs(done.get(s, 0) - share * n) < (30 if s != "single" else 0.1 * n) for s, n in every.items())
+
+
 def test_mixture_keeps_proportions_in_every_window():
     mixture = packing.Mixture([50_000, 9_000, 1_300, 137_123])
     taken = np.diff(mixture.served(np.arange(mixture.windows + 1)), axis=0)
