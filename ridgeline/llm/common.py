@@ -17,12 +17,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and all
+    tasks run in this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
     return sc.getCheckpointDir()
 
@@ -67,6 +70,7 @@ def hash_sample(df: DataFrame, key: Column, bound: int, salt: int, count: int |
     return df.where(in_hash_sample(key, bound, salt, n)).limit(2 * bound)
 
 
-def crc_mod(key: Column, n: int) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(n))
+def held_out(key: Column, n: int, rest: int) -> Column:
+    """Whether crc32 of the key as text leaves `rest` modulo n; never for a null key."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(n)) == rest, F.lit(False))
 

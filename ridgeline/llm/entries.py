@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, exact_dedup, language_id, license_scan, packing, pfor, pii, simhash, toxicity
 from ridgeline.llm import quality as quality_model
-from ridgeline.llm.common import crc_mod, documents
+from ridgeline.llm.common import documents, held_out
 
 WORD_TOKENS, BYTE_TOKENS = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -30,7 +30,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held = crc_mod(F.col("doc_id"), 3) == 1
+    held = held_out(F.col("doc_id"), 3, 1)
     model = language_id.fit(docs.where(~held))
     found = docs.select("doc_id", held.alias("held_out"), language_id.identify(model, F.col("text")).alias("f"))
     return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"), F.col("f.rejected").alias("rejected"))
@@ -45,7 +45,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held = crc_mod(F.col("doc_id"), 5) == 0
+    held = held_out(F.col("doc_id"), 5, 0)
     model = quality_model.fit(docs, labels.where(~held), docs.where(~held))
     found = docs.select("doc_id", held.alias("held_out"), quality_model.quality(model, *map(F.col, ("text", "source", "lang", "n_chars"))).alias("f"))
     return found.select("doc_id", "held_out", "f.score", "f.text_score", "f.meta_score", (F.col("f.score") >= 0.5).cast("int").alias("predicted"))
@@ -57,7 +57,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held = crc_mod(F.col("doc_id"), 5) == 0
+    held = held_out(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, labels.where(~held))
     found = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity(model, F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

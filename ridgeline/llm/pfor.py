@@ -3,7 +3,8 @@
 Documents are dealt by ranges of doc_id and sorted; each task writes shard images of about
 SHARD_IDS ids. Spark's own writer commits the images (one row each, a binary column) in the
 shared folder, so a lost task leaves nothing behind and any store works. Reading decodes the
-images where they lie; only the sums of the parts are needed to number the ids globally.
+images where they lie; only the sums of the parts are needed to number the ids globally. An image
+is a complete file of the format: `export` writes each as a file of its own in the shared folder.
 
 Image: the header, the document index (doc_ids, id counts, null flags), the block index
 (minimum, width, exception count and byte offset of each block), then the blocks. A block of
@@ -11,13 +12,15 @@ BLOCK ids stores value minus block minimum at the smallest width that holds PERC
 block; larger values are patched from its exception list (positions, then values).
 
 Defined results: null text counts as empty and holds the end id alone. Rows with null doc_id
-come first; rows with equal doc_id keep the order of the file. An empty table gives no shard
+come first; rows with equal doc_id keep the order in which they are read. An empty table gives no shard
 and no row. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -112,8 +115,8 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def shard_images(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, shard, n, image) of all documents in ascending doc_id order by part and shard."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row_id"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "row_id").drop("row_id")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, part = encoder(path).encode, np.array([end_id], dtype="<u2").tobytes(), TaskContext.get().partitionId()
@@ -169,3 +172,20 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 def token_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shard images and returns them reread from the shared folder."""
     return written(shard_images(docs, path, end_id, id_col, text_col), "token-shards")
+
+
+def export(shards: DataFrame, folder: str) -> DataFrame:
+    """Each image as the file <folder>/part-shard.pfor on a path that all executors mount: (part, shard,
+    n, file). A task that runs again writes the same bytes, and a rename puts a file in place whole."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names = [f"{folder}/{p:06}-{s:06}.pfor" for p, s in zip(batch["part"], batch["shard"], strict=True)]
+            for name, image in zip(names, batch["image"], strict=True):
+                own = f"{name}.{uuid.uuid4().hex}"
+                with open(own, "wb") as f:
+                    f.write(image)
+                os.replace(own, name)
+            yield pd.DataFrame({"part": batch["part"], "shard": batch["shard"], "n": batch["n"], "file": names})
+
+    return shards.mapInPandas(of, "part int, shard int, n long, file string")

@@ -7,7 +7,8 @@ one pre-token, so the library's model splits it directly; other units, and whole
 characters or white space for which units would not be independent, take the library's full
 way. All ways give the library's own ids (tests compare them).
 
-Strings of special tokens within a text are ordinary text.
+A text that holds the string of an added token (`<|endoftext|>`) goes to the library whole: with
+`add_special_tokens=False` alone the library gives the token's own id there.
 """
 
 from __future__ import annotations
@@ -86,18 +87,27 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
         self.keeps_blanks = self.library.normalizer is None
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.starts = {t[0] for t in self.added}
         self.bare, self.spaced = _Units(self.library, ""), _Units(self.library, " ")
 
     def whole(self, text: str) -> bytes:
         return self.bare.whole(text)
 
+    def holds_added(self, text: str) -> bool:
+        if not any(map(text.__contains__, self.starts)):
+            return False
+        lower = text.lower()
+        return any(map(lower.__contains__, self.added))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.holds_added(text):
+            return self.whole(text)
         if not self.keeps_blanks:
             return b"".join(map(self.bare.__getitem__, text.lower().split())) if _WORDS_APART.fullmatch(text) else self.whole(text)
         if not _BLANKS_APART.fullmatch(text):

@@ -152,8 +152,7 @@ def test_decontamination_against_brute_force(spark, docs_of, monkeypatch, block)
 def test_encoder_is_the_library(name):
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = ["don't stop's  x", "a\n\nb", " lead", "trail ", "İstanbul ŉ’s", "x's 'll it'd 12,5.", "tab\there", "", "　é ﬁ", "É́ é", "<|endoftext|> hi", "a... b!? c.;d", "ß. ÿ ªº µx.", LONG[:500]]
+    texts = ["don't stop's  x", "a\n\nb", " lead", "trail ", "İstanbul ŉ’s", "x's 'll it'd 12,5.", "tab\there", "", "　é ﬁ", "É́ é", "<|endoftext|> hi", "hi<|endoftext|>x <|STARTOFTEXT|> <|", "a <|startoftext|>", "a... b!? c.;d", "ß. ÿ ªº µx.", LONG[:500]]
     encoder = Encoder(path)
     for t in texts + texts:
         assert np.frombuffer(encoder.encode(t), dtype="<u2").tolist() == library.encode(t, add_special_tokens=False).ids
@@ -171,18 +170,21 @@ def test_pfor_blocks_round_trip():
     assert len(pfor.encode_blocks(constant)[1]) == 0
 
 
-def test_token_shards_are_the_concatenation(spark, docs_of, monkeypatch):
+def test_token_shards_are_the_concatenation(spark, docs_of, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    rows = sorted([r for r in ROWS if r[0] is not None and r[0] != 2] + [(2, "x y", "en", "a")])
-    shards = pfor.token_shards(docs_of(rows).selectExpr("*", "1 as part", "2 as ids"), path)
-    got = {r["doc_id"]: r for r in pfor.read_documents(shards, with_ids=True).collect()}
+    rows = [*ROWS, (2, "another <|endoftext|> text", "en", "a"), (None, "no id", None, None)]
+    shards = pfor.token_shards(docs_of(rows).coalesce(1).selectExpr("*", "1 as part", "2 as ids"), path)
+    got = sorted(pfor.read_documents(shards, with_ids=True).collect(), key=lambda r: r["start"])
     start = 0
-    for d, t, *_ in rows:
+    for r, (d, t, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
         raw = np.array(ids, dtype="<u4").tobytes()
-        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"], bytes(got[d]["ids"])) == (start, len(ids), zlib.crc32(raw), raw)
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (d, start, len(ids), zlib.crc32(raw), raw)
         start += len(ids)
+    files = pfor.export(shards, str(tmp_path)).collect()
+    assert sum(f["n"] for f in files) == start
+    assert sum(len(pfor.read_image((tmp_path / f["file"].split("/")[-1]).read_bytes())[2]) for f in files) == start
     assert pfor.read_documents(pfor.token_shards(docs_of([]), path)).count() == 0
 
 
