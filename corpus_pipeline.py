@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, exact_dedup, language_id, packing, simhash
-from ridgeline.llm.common import crc_mod, documents, shared_dir
+from ridgeline.llm.common import documents, held_out, shared_dir
 from ridgeline.llm.entries import BYTE_TOKENS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
     return language_id.keep_identified(docs, model)
 
 
