@@ -264,7 +264,7 @@ def brute_pii(text):
     def luhn(d):
         return sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1], 1)) % 10 == 0
     out = []
-    for kind in pii.KINDS:
+    for kind in pii.BASE_KINDS:
         for m in re.finditer(pats[kind], text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
@@ -273,7 +273,8 @@ def brute_pii(text):
     return out
 
 
-def test_pii_base_spans(spark, docs_of):
+def test_pii_base_spans(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_ROWS", 3)
     texts = ["mail a.b+c@x-y.example.org, a@b.c_d@e.f and a@b..c@d.e", "1.2.3.4.5.6.7.8 010.0.0.255 999.1.1.1 1.2.3", "card 4111 1111 1111 1111 and 4111111111111112 é 4111-1111-1111-1111-",
              "+1 (705) 555-6638 in +49.30.1234567. +12 +5 5555555555555555", None, "", "é😀 +1 (705) 555-6638", "9" * 6000 + " " + "1-" * 3000 + "x@" * 500, LONG + " z@z.zz", "b@c.d" * 3]
     docs = docs_of([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]).selectExpr("*", "1 as kind", "2 as value")
@@ -281,12 +282,57 @@ def test_pii_base_spans(spark, docs_of):
     assert len(got) == len(texts) + 1
     for r in got:
         want = brute_pii(texts[r["doc_id"]])
-        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in want) for k in pii.KINDS]
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(w[0] == k for w in want) for k in pii.BASE_KINDS]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r["spans"].split(","))  or not want
     assert pii.report(pii.spans(docs_of([]))).count() == 0
 
 
+def test_pii_adds_what_no_strict_format_takes(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_ROWS", 12)
+    cases = [("secret", 'token = "', "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", '"'), ("phone", "call ", "(212) 555-0173", ""), ("card", "card ", "4111.1111.1111.1111", ""),
+             ("iban", "", "DE89370400440532013000", ""), ("email", "", "jane.doe (at) example (dot) org", ""), (None, "commit ", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", ""),
+             (None, "order ", "4111111111111113", ""), (None, "", "DE88370400440532013000", ""), (None, "on ", "2024-05-12", ""), (None, "total ", "1.234.567", "")]
+    rng = np.random.default_rng(9)
+    some = lambda: " ".join(rng.choice(["river", "stone", "of", "the", "under", "light", "and"], 12))
+    texts, want = [], {}
+    for i, (kind, lead, value, tail) in enumerate(cases * 4):
+        before = f"{some()} {lead}"
+        texts.append(f"{before}{value}{tail} {some()}")
+        want[i] = f"{kind}:{len(before)}:{len(before) + len(value)}" if kind else ""
+    got = {r["doc_id"]: r for r in pii.report(pii.spans(docs_of([*enumerate(texts), (900, None), (901, "plain"), *((1000 + i, f"{some()} {some()} {some()}") for i in range(400))]))).collect()}
+    assert sum(got[i]["spans"] == w for i, w in want.items()) >= len(want) - 2
+    assert all(not got[i]["spans"] for i, w in want.items() if not w)
+    assert got[900]["n_spans"] == got[901]["n_added"] == 0
+    assert sum(r["n_added"] for r in got.values()) >= 18
+
+
+def test_pii_overlap_choice_against_brute_force(spark):
+    rng = np.random.default_rng(10)
+    told, base = [], []
+    for row in range(12):
+        for g in pii.LOOSE:
+            at = 0
+            for _ in range(int(rng.integers(0, 8))):
+                begin = at + int(rng.integers(0, 6))
+                at = begin + int(rng.integers(1, 9))
+                told.append((row, g, pii.GENERATORS[g][0], begin, at, float(rng.integers(50, 56)) / 100))
+        base += [(row, b := int(rng.integers(0, 40)), b + 3) for _ in range(int(rng.integers(0, 3)))]
+    crosses = lambda a, b: a[0] == b[0] and a[-2] < b[-1] and b[-2] < a[-1]
+    ends = lambda t: (t[0], t[3], t[4])
+    free = [t for t in told if not any(crosses(ends(t), b) for b in base)]
+    better = lambda a, b: (-a[5], a[1], a[3]) < (-b[5], b[1], b[3])
+    want = {(t[0], t[2], t[3], t[4]) for t in free if not any(o is not t and crosses(ends(o), ends(t)) and better(o, t) for o in free)}
+    got = pii.chosen(spark.createDataFrame(told, "row_id long, g int, kind string, begin long, stop long, p double"),
+                     spark.createDataFrame(base, "row_id long, begin long, stop long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pii_redaction(spark):
+    found = spark.createDataFrame([("é call (212) 555-0173 or a@b.c", [(3, 7, 21), (0, 25, 30)])], "text string, spans array<struct<kind: int, begin: long, stop: long>>")
+    assert found.select(pii.redact(pii.F.col("text"), pii.F.col("spans"))).first()[0] == "é call [phone] or [email]"
+
+
 def test_quality_views_and_empty_labels(spark, docs_of):
     rng = np.random.default_rng(3)
     good = [(" ".join(f"w{i}" for i in rng.integers(0, 400, 80)), "s1", "en", 500) for _ in range(80)]
