@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/ridgeline/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, reread: lineage ends there and
     columns can be pruned. A lost executor costs a reread only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,13 +1,18 @@
 """Exact dedup by two Bloom passes, with DataFrame functions only.
 
-Pass 1 counts, for two hash cells of each text digest, how many rows fall on each cell
-(summed before the shuffle; the shuffled rows are cell numbers, never texts). Cells hit at
-least twice become a bit filter: 4 KB bitmaps by bucket. Pass 2 probes the filter where the
-rows lie. A row with a cell of its own cannot be repeated and passes straight through; only
-the rest shuffle by digest and are grouped.
+The filter is a blocked Bloom filter: a text digest picks one bucket of 32,768 bits and two cells in
+it. Pass 1 counts how many rows fall on each cell (summed before the shuffle; what moves is cell
+numbers, never texts) and keeps the cells hit at least twice as one 4 KB bitmap for each bucket. Pass 2
+probes the bitmaps where the rows lie. A row with a cell of its own cannot be repeated and passes
+straight through; only the rest shuffle by digest and are grouped.
 
-The filter holds at most `16 * 2` bits a document. Up to MAX_FILTER_BYTES it is broadcast;
-beyond, the probe is an ordinary join on the bucket number.
+The filter has BITS_PER_ROW bits a row. It is broadcast in slices of SLICE_BUCKETS buckets (64 MB), one
+job after the other, so that what a task holds is bounded. One slice serves 33 million rows; with
+more, the rows are first written by slice, so that each job reads its own rows only and nothing but
+possibly repeated rows is ever shuffled.
+
+Groups larger than a 10,000th of all rows number less than 10,000: their results are broadcast to
+their rows. All other groups are too small to be a hot key in the join.
 
 Defined results: null text counts as empty, empty texts equal each other; of equal texts the
 row with the largest doc_id stays (null smallest; among rows that tie on doc_id, one: the one
@@ -17,53 +22,77 @@ travel inside a struct, so their names cannot clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import ascii_lower, hashable, written
+from ridgeline.llm.common import ascii_lower, hashable, scratch, written
 
 BITS_PER_ROW = 16
-MAX_FILTER_BYTES = 64 << 20
+BUCKET_BITS = 1 << 15
+SLICE_BUCKETS = 1 << 14
+#: Groups above this part of all rows are few and are broadcast.
+HOT_GROUPS = 10_000
 
 
 def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
-def filter_bits(rows: int) -> int:
-    return max(1 << 15, 1 << (BITS_PER_ROW * max(rows, 1) - 1).bit_length())
+def bucket_count(rows: int) -> int:
+    return max(1, -(-rows * BITS_PER_ROW // BUCKET_BITS))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(0)), F.lit(buckets))
 
 
-def _cells(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(bits)) + 1 for i in range(2)]
+def _cells() -> list[Column]:
+    own = F.xxhash64("digest", F.lit(1))
+    return [F.pmod(own, F.lit(BUCKET_BITS)), F.pmod(F.shiftrightunsigned(own, 32), F.lit(BUCKET_BITS))]
 
 
-def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps (bucket, bitmap) of the cells that two or more rows of `digests(digest)` hit."""
-    cells = digests.select(F.explode(F.array(*_cells(F.col("digest"), bits))).alias("cell"))
-    return (
-        cells.groupBy("cell").count().where("count > 1")
-        .groupBy(F.bitmap_bucket_number("cell").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
-    )
+def repeat_filter(digests: DataFrame, buckets: int) -> DataFrame:
+    """Bitmaps (bucket, bitmap) of the cells that two or more rows of `digests(digest)` hit. A row whose
+    two cells are one counts once there."""
+    cells = digests.select(_bucket(buckets).alias("bucket"), F.explode(F.array_distinct(F.array(*_cells()))).alias("cell"))
+    return cells.groupBy("bucket", "cell").count().where("count > 1").groupBy("bucket").agg(F.bitmap_construct_agg("cell").alias("bitmap"))
 
 
 def _bit(bitmap: Column, cell: Column) -> Column:
-    at = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)
+    byte = F.conv(F.hex(F.substring(bitmap, (cell / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (cell % 8).cast("int") + 1)
     return F.coalesce(byte.bitwiseAND(mask) > 0, F.lit(False))
 
 
-def maybe_repeated(rows: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
-    """`rows(digest, ...)` with `maybe`: both cells are in the filter."""
-    if bits // 8 <= MAX_FILTER_BYTES:
-        filters = F.broadcast(filters)
-    for i, cell in enumerate(_cells(F.col("digest"), bits)):
-        side = filters.select(F.col("bucket").alias(f"bucket{i}"), F.col("bitmap").alias(f"bitmap{i}"))
-        rows = rows.join(side, F.bitmap_bucket_number(cell) == F.col(f"bucket{i}"), "left").withColumn(
-            f"hit{i}", _bit(F.col(f"bitmap{i}"), cell)).drop(f"bucket{i}", f"bitmap{i}")
-    return rows.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
+def probe(rows: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """`rows(digest, ...)` with `maybe`: both cells are in the filter slice `filters`, which is broadcast."""
+    side = F.broadcast(filters.select(F.col("bucket").alias("filter_bucket"), "bitmap"))
+    one, two = _cells()
+    found = rows.join(side, _bucket(buckets) == F.col("filter_bucket"), "left")
+    return found.withColumn("maybe", _bit(F.col("bitmap"), one) & _bit(F.col("bitmap"), two)).drop("filter_bucket", "bitmap")
+
+
+def maybe_repeated(rows: DataFrame, digests: DataFrame, count: int) -> list[DataFrame]:
+    """`rows(digest, ...)` with `maybe`, one frame for each slice of the filter over `digests`."""
+    buckets = bucket_count(count)
+    filters = repeat_filter(digests, buckets)
+    if buckets <= SLICE_BUCKETS:
+        return [probe(rows, filters, buckets)]
+    filters = written(filters, "filter")
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "by-slice")
+    rows.withColumn("slice", F.floor(_bucket(buckets) / SLICE_BUCKETS)).write.partitionBy("slice").parquet(path)
+    placed = spark.read.parquet(path)
+    found = []
+    for k in range(-(-buckets // SLICE_BUCKETS)):
+        part = filters.where(F.col("bucket").between(k * SLICE_BUCKETS, (k + 1) * SLICE_BUCKETS - 1))
+        found.append(written(probe(placed.where(F.col("slice") == k).drop("slice"), part, buckets), "probed"))
+    return found
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,18 +100,20 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(
         docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"),
                     text_digest(F.col(text_col)).alias("digest")), "digests")
-    bits = filter_bits(rows.count())
-    probed = maybe_repeated(rows, repeat_filter(rows, bits), bits)
+    count = rows.count()
+    probed = _union(maybe_repeated(rows, rows, count))
     single = probed.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    again = probed.where("maybe")
-    groups = again.groupBy("digest").agg(
-        F.max(F.struct("doc_id", "row_id")).alias("last"), F.count(F.lit(1)).alias("group_size"))
-    # a hot group is split by the skew join; the grouped side has one row for each text
-    several = again.join(groups, "digest").select(
-        "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size",
-        (F.col("row_id") == F.col("last.row_id")).alias("kept"), "digest")
-    return single.unionByName(several).select(
+    again = probed.where("maybe").drop("maybe")
+    groups = written(again.groupBy("digest").agg(
+        F.max(F.struct("doc_id", "row_id")).alias("last"), F.count(F.lit(1)).alias("group_size")), "groups")
+    is_hot = F.col("group_size") * HOT_GROUPS > count  # fewer than HOT_GROUPS
+    hot = groups.where(is_hot)
+    columns = ["doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("last.row_id")).alias("kept"), "digest"]
+    in_hot = again.join(F.broadcast(hot), "digest", "left")
+    of_hot = in_hot.where("last is not null").select(*columns)
+    of_rest = in_hot.where("last is null").drop("last", "group_size").join(groups.where(~is_hot), "digest").select(*columns)
+    return _union([single, of_hot, of_rest]).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -92,7 +123,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tie = F.struct(F.col(id_col), F.xxhash64(*[F.col(c) for c in hashable(docs)]))
     rows = docs.select(F.struct("*").alias("row"), text_digest(F.col(text_col)).alias("digest"), tie.alias("rank"))
     digests = written(rows.select("digest"), "digests")
-    bits = filter_bits(digests.count())
-    probed = maybe_repeated(rows, repeat_filter(digests, bits), bits)
-    kept = probed.where("maybe").groupBy("digest").agg(F.max_by("row", "rank").alias("row"))
-    return probed.where("not maybe").select("row.*").unionByName(kept.select("row.*"))
+    probed = maybe_repeated(rows, digests, digests.count())
+    kept = _union([p.where("maybe") for p in probed]).groupBy("digest").agg(F.max_by("row", "rank").alias("row"))
+    return _union([p.where("not maybe") for p in probed]).select("row.*").unionByName(kept.select("row.*"))

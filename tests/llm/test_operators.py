@@ -20,32 +20,33 @@ ROWS = [
 ]
 
 
-def test_exact_dedup_groups(spark, docs_of):
-    got = exact_dedup.duplicate_groups(docs_of(ROWS)).collect()
+@pytest.mark.parametrize("slice_buckets, hot", [(exact_dedup.SLICE_BUCKETS, 10_000), (1, 3)])
+def test_exact_dedup_groups(spark, docs_of, monkeypatch, slice_buckets, hot):
+    monkeypatch.setattr(exact_dedup, "SLICE_BUCKETS", slice_buckets)
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", hot)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 16 if hot > 3 else 1 << 13)
+    rows = ROWS + [(100 + i, "Copied", "en", "hot") for i in range(30)]
+    got = exact_dedup.duplicate_groups(docs_of(rows)).collect()
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    sizes = Counter(lower(t) for _, t, *_ in ROWS)
+    sizes = Counter(lower(t) for _, t, *_ in rows)
     shas = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
-    assert len(got) == len(ROWS)
+    assert len(got) == len(rows)
     assert all(r["group_size"] == sizes[shas[r["text_sha256"]]] for r in got)
     kept = [r for r in got if r["kept"]]
     assert len(kept) == len(sizes) and all(r["doc_id"] == r["keep_id"] for r in kept)
     assert {r["keep_id"] for r in got if shas[r["text_sha256"]] == "the quick brown fox"} == {2}
     assert exact_dedup.duplicate_groups(docs_of([])).count() == 0
-
-
-def test_exact_dedup_keeps_columns_that_clash(spark, docs_of):
-    docs = docs_of(ROWS).selectExpr("*", "1 as digest", "'x' as row", "2 as maybe", "3 as bucket0")
-    kept = exact_dedup.exact_dedup(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len({(t or "").encode().lower() for _, t, *_ in ROWS})
+    docs = docs_of(rows).selectExpr("*", "1 as digest", "'x' as row", "2 as maybe", "3 as slice", "4 as bitmap")
+    single = exact_dedup.exact_dedup(docs)
+    assert single.columns == docs.columns
+    assert sorted(lower(r["text"]) for r in single.collect()) == sorted(sizes)
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
 def test_bloom_filter_passes_no_repeated_row(spark):
     rows = spark.range(4000).selectExpr("unhex(sha2(cast(id % 3900 as string), 256)) as digest", "id")
-    bits = exact_dedup.filter_bits(4000)
-    single = exact_dedup.maybe_repeated(rows, exact_dedup.repeat_filter(rows, bits), bits).where("not maybe")
-    ids = [r["id"] for r in single.collect()]
+    [probed] = exact_dedup.maybe_repeated(rows, rows, 4000)
+    ids = [r["id"] for r in probed.where("not maybe").collect()]
     assert all(100 <= i < 3900 for i in ids) and len(ids) > 3500
 
 
