@@ -95,15 +95,14 @@ OP3 = f"""
     t0 as (select tmpl, label, base, string_split(txt, ' ') as ws from (values {TEMPLATES}) as v(tmpl, label, base, txt)),
     t as (select tmpl, label, base, len(ws) - 1 as pairs, unnest(ws[:len(ws) - 1]) as w1, unnest(ws[2:]) as w2, unnest(range(len(ws) - 1)) as t from t0),
     hits as (select rid, tmpl, label, base, pairs, p, t, p - t as diagonal from p join t using (w1, w2)),
-    marked as (select *, case when not base and diagonal - lag(diagonal) over o <= {license_scan.BAND} then 0
-                              when base and diagonal = lag(diagonal) over o then 0 else 1 end as fresh
+    marked as (select *, case when diagonal - lag(diagonal) over o <= case when base then 0 else {license_scan.BAND} end then 0 else 1 end as fresh
                from hits window o as (partition by rid, tmpl order by diagonal, p)),
-    banded as (select *, sum(fresh) over (partition by rid, tmpl order by diagonal, p) as band from marked),
-    bands as (select rid, tmpl, band, any_value(label) as label, any_value(base) as base, min(p) as first, max(p) + 1 as last,
-                     any_value(pairs) as pairs, count(distinct t) / any_value(pairs) as coverage
-              from banded group by rid, tmpl, band),
-    spans as (select *, case when base then coverage = 1
-                             else coverage >= {license_scan.COVERED} and last - first <= {license_scan.STRETCH} * pairs end as fits from bands),
+    banded as (select *, sum(fresh) over (partition by rid, tmpl order by diagonal, p) as band,
+                      cast(floor(pairs * {license_scan.STRETCH}) as int) - 1 as reach from marked),
+    windows as (select *, count(distinct t) over w as held, max(p) over w + 1 as last
+                from banded window w as (partition by rid, tmpl, band order by p range between current row and reach following)),
+    best as (select *, held / pairs as coverage, row_number() over (partition by rid, tmpl, band order by held desc, last - p, p) as k from windows),
+    spans as (select *, p as first, coverage >= case when base then 1 else {license_scan.COVERED} end as fits from best where k = 1),
     found as (select rid, count(*) filter (fits and base) as n_base, min(first) filter (fits and base) as first_word,
                      max(first) filter (fits and base) as last_word,
                      string_agg(distinct label, ',' order by label) filter (fits and base) as base_labels,

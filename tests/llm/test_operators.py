@@ -74,6 +74,49 @@ def test_license_base_places(spark, docs_of):
     assert license_scan.report(license_scan.scan(docs_of([]))).count() == 0
 
 
+def brute_labels(text, notices):
+    """Labels by trying every stretch of the text against every band of diagonals of every template."""
+    ws, found = re.findall(license_scan.WORD, (text or "").encode().lower().decode()), set()
+    for label, notice in notices:
+        tw = notice.split()
+        hits = [(p, t) for p in range(len(ws) - 1) for t in range(len(tw) - 1) if ws[p : p + 2] == tw[t : t + 2]]
+        diagonals, bands = sorted({p - t for p, t in hits}), []
+        for d in diagonals:
+            if bands and d - bands[-1][-1] <= license_scan.BAND:
+                bands[-1].append(d)
+            else:
+                bands.append([d])
+        reach = int((len(tw) - 1) * license_scan.STRETCH)
+        for band in bands:
+            own = [(p, t) for p, t in hits if p - t in band]
+            if any(len({t for q, t in own if p <= q < p + reach}) >= license_scan.COVERED * (len(tw) - 1) for p, _ in own):
+                found.add(label)
+    return found
+
+
+def test_license_windows_against_brute_force(spark, docs_of):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{i % 61} x{i}" for i in range(70))
+    notices = [*license_scan.NOTICES, ("long", long)]
+    texts = ["licensed under cc by nc", "licensed under cc by nc" + " by nc" * 6, "by nc by nc licensed under cc by nc", f"some {long} more", f"{long[:560]} a few other words", long[:300],
+             "permission is hereby granted to any person free of charge obtaining a copy of this software"]
+    pool = [n.split() for _, n in notices[:-1]]
+    for _ in range(40):
+        out = []
+        for _ in range(int(rng.integers(1, 6))):
+            ws = pool[int(rng.integers(len(pool)))]
+            out += [w for w in ws if rng.random() > 0.12] + ["extra"] * int(rng.integers(0, 3)) + ws[-2:] * int(rng.integers(0, 4))
+        texts.append(" ".join(out))
+    table = spark.createDataFrame(notices, "label string, text string")
+    base = [(label, phrase) for label, phrase in license_scan.BASE]
+    for given in (notices, table):
+        got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_scan.report(license_scan.scan(docs_of(list(enumerate(texts))), notices=given)).collect()}
+        for i, t in enumerate(texts):
+            plain = {label for label, phrase in base if f" {phrase} " in f" {t} "}
+            assert got[i] == brute_labels(t, notices) | plain, t
+    assert got[1] == {"cc-by", "cc-by-nc"} and got[3] == got[4] == {"long"} and got[5] == set()
+
+
 def test_language_model_learns_and_rejects():
     rng = np.random.default_rng(0)
     def text(syllables):
