@@ -284,6 +284,44 @@ def test_mixture_keeps_proportions_in_every_window():
     assert (taken.sum(axis=1) == packing.WINDOW).all() and (np.abs(taken - share) < 2).all() and (taken >= 0).all()
 
 
+@pytest.mark.parametrize("totals, weights", [
+    ([50_000, 9_000, 1_300, 137_123], [1, 1, 1, 1]), ([50_000, 9_000, 1_300, 137_123], [5, 0.5, 0, 2]), ([3_000, 2_000], [0, 0]), ([1 << 36, 1 << 35, 1 << 28], None),
+    ([1024, 1, 5, 5000], [1, 3, 3, 1]), ([7], None), ([], None)])
+def test_mixture_by_weights(totals, weights):
+    mixture = packing.Mixture(totals, weights)
+    w = np.arange(mixture.windows + 2) if mixture.windows < 10_000 else np.unique(np.concatenate([np.arange(3000), mixture.starts, mixture.windows + 1 - np.arange(3000)]))
+    served = mixture.served(w)
+    assert (np.diff(served, axis=0) >= 0).all() and (served <= np.array(totals, dtype=np.int64)).all() and served[-1].tolist() == totals
+    full = w <= mixture.windows
+    assert (served[full].sum(axis=1) == packing.WINDOW * w[full]).all()
+    if weights and any(weights):
+        end = mixture.starts[1]
+        want = np.array(weights) / sum(weights) * packing.WINDOW
+        assert (np.abs(np.diff(mixture.served(np.arange(end + 1)), axis=0) - want) < 2).all()
+    for s, total in enumerate(totals):
+        place = np.unique(np.linspace(0, total - 1, 50).astype(np.int64))
+        at = mixture.window_of(np.full(len(place), s), place)
+        before, after = mixture.served(np.maximum(at - 2, 0))[:, s], mixture.served(np.minimum(at + 2, mixture.windows) + 1)[:, s]
+        assert (before <= place).all() and (place < after).all()
+
+
+def test_packing_by_weights(spark, docs_of):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, f"text number {i} of some words", "en", "abc"[i % 3]) for i in range(900)] + [(i, "same id", "en", "a") for i in (5, 5)]
+    got = packing.pack(docs_of(rows), path, with_ids=False, weights={"a": 3, "b": 1}).collect()
+    source = {i: s for i, _, _, s in rows}
+    taken = Counter()
+    for r in got:
+        if r["sequence_id"] < 4:
+            taken[source[r["doc_id"]]] += r["length"]
+    every = sum(r["length"] for r in got)
+    own = {s: sum(r["length"] for r in got if source[r["doc_id"]] == s) for s in "abc"}
+    free = 1 - own["c"] / every
+    assert all(abs(taken[s] - 4096 * x) < 8 for s, x in {"a": 0.75 * free, "b": 0.25 * free, "c": own["c"] / every}.items())
+    assert sum(r["length"] for r in got if r["start"] == 0 and r["doc_id"] == 5) > 0
+    assert len([r for r in got if r["doc_id"] == 5 and r["start"] == 0]) == 3
+
+
 def test_toxicity_learns_rare_words():
     rng = np.random.default_rng(2)
     clean = [" ".join(f"w{i}" for i in rng.integers(0, 300, 60)) for _ in range(300)]
