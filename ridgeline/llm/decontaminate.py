@@ -9,8 +9,10 @@ running ranks, and a sample of suffix positions. All windows are searched backwa
 word by word, through the tree's ranks; the rows found step back to the nearest sampled
 position. Occurrences are merged to removal spans, and items are counted by their windows.
 
-The benchmark is read in blocks of at most BLOCK_WORDS words, one search job for each, so
-what is sent to the tasks is bounded whatever its size; documents are never sent.
+The benchmark is read in blocks of at most BLOCK_WORDS words, and one job after the other searches one
+block, so that what the driver and the tasks hold is bounded whatever its size; documents are never
+sent. With several blocks the jobs read a table of row numbers and texts and write what they find
+by row number, and the findings are merged and joined to the rows at the end.
 
 Defined results: null has no words; an item without words is never found; an item of fewer
 than WINDOW words is one window; equal items count each under its item_id (null item_id: never
@@ -21,12 +23,16 @@ no row; no item, no hit. Extra columns travel inside a struct.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import written
+
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 SHARD_SYMBOLS = 1 << 19
@@ -183,22 +189,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
     """Items in blocks of at most BLOCK_WORDS words (by bytes / 2, which no text exceeds), or one item."""
     rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (2 * BLOCK_WORDS)))
-    for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield [(r["item"], r["text"]) for r in part.collect()]
+    if parts == 1:
+        return [rows]
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
 FOUND = "n_words long, items array<string>, first array<long>, last array<long>"
 
 
-def _search(spark: SparkSession, items: list[tuple[int | None, str | None]], window: int, text: Column) -> Column:
-    """The struct FOUND of each text against one block of items; the shards are cut from Arrow batches."""
-    sent = spark.sparkContext.broadcast(items)
+def _search(sent: Broadcast, window: int, text: Column) -> Column:
+    """The struct FOUND of each text against the block of items `sent`; the shards are cut from Arrow batches."""
 
     @F.pandas_udf(FOUND)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -243,15 +248,22 @@ def with_removal_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     ids of items with occurring windows (strings, sorted), merged spans (word numbers from 0,
     last one inclusive) and the words within them."""
     blocks = benchmark_blocks(benchmark, item_col, item_text_col)
-    found = [_search(docs.sparkSession, block, window, F.col(text_col)).alias(f"found{k}") for k, block in enumerate(blocks)]
-    rows = docs.select(F.struct("*").alias("row"), *found)
-    zipped = [F.arrays_zip(F.col(f"found{k}.first").alias("first"), F.col(f"found{k}.last").alias("last")) for k in range(len(found))]
-    if len(found) == 1:
-        items, spans = F.col("found0.items"), zipped[0]
+    send = lambda block: docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
+    if len(blocks) == 1:
+        rows = docs.select(F.struct("*").alias("row"), _search(send(blocks[0]), window, F.col(text_col)).alias("found"))
+        rows = rows.select("row", "found.n_words", "found.items", F.arrays_zip(F.col("found.first").alias("first"), F.col("found.last").alias("last")).alias("spans"))
     else:
-        items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"found{k}.items") for k in range(len(found))])))
-        spans = _merge(F.concat(*zipped))
-    rows = rows.select("row", F.col("found0.n_words").alias("n_words"), items.alias("items"), spans.alias("spans"))
+        numbered = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("row"), F.col(text_col).alias("text")), "decontaminate-rows")
+        parts = []
+        for k, block in enumerate(blocks):
+            sent = send(block)
+            found = numbered.select("row_id", _search(sent, window, F.col("text")).alias("found")).select("row_id", "found.*")
+            parts.append(written(found if k == 0 else found.where("size(first) > 0"), "decontaminate-found"))  # the first has all rows
+            sent.destroy()
+        every = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(
+            F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.flatten(F.collect_list(F.arrays_zip(F.col("first").alias("first"), F.col("last").alias("last")))).alias("spans"))
+        rows = numbered.select("row_id", "row").join(every, "row_id").select("row", "n_words", "items", _merge(F.col("spans")).alias("spans"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return rows.withColumn("n_hit", hit)
 

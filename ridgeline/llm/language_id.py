@@ -4,12 +4,16 @@ A text is the average of the embeddings of its hashed byte n-grams (letters lowe
 other ASCII a blank); a linear softmax reads the language from it. Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on a bounded hash sample of labelled
 rows (`train_rows`, texts of at most `train_chars` characters). A part of the sample that the
-descent does not see sets the temperature. All labelled rows outside the sample, scored whole in
-Spark, set the rejection level: the level below which at most `reject_rate` of known texts fall.
-It is conformal: with fewer than 1 / `reject_rate` such rows none is rejected for its score. If the
-labelled rows are at least twice as many, at most half of them are sampled, so that a level exists.
+descent does not see sets the temperature, so that scores are calibrated.
 
-For scoring the two layers are one table of bucket by language, broadcast (0.5 MB).
+A text is rejected for either of two figures: the score, and how typical its n-grams are (the mean
+logarithm of their shares in the sample), which is low for gibberish and for languages never seen,
+where a softmax may still be sure. All labelled rows outside the sample, scored whole in Spark,
+set both levels: at most `reject_rate` of known texts fall below one or the other. The levels are
+conformal: with fewer than 2 / `reject_rate` such rows none is rejected for its figures. If the
+labelled rows are at least four times as many, at most half of them are sampled, so that levels exist.
+
+For scoring the two layers and the shares are one table of buckets, broadcast (0.5 MB).
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was
 labelled. Ties go to the first language by name. Equal rows are scored alike, each on its own.
@@ -33,8 +37,8 @@ BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (2, 3, 4)
 SLICE = 1 << 20
-#: Steps of the scores that set the rejection level.
-STEPS = 1 << 16
+#: Steps of the figures that set the rejection levels.
+STEPS = 1 << 12
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -57,34 +61,41 @@ def subwords(text: str) -> Iterator[np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # BUCKETS by languages
+    table: np.ndarray  # BUCKETS by languages, then the log share of each bucket
     bias: np.ndarray
     temperature: float = 1.0
     level: float = 0.0
+    typical_level: float = -np.inf
 
-    def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.langs)), 0
+    def figures(self, text: str | None) -> tuple[str, float, float]:
+        """Language, calibrated score, and how typical the text is."""
+        if not text or not self.langs or not _LETTER.search(text):
+            return UNKNOWN, 0.0, -np.inf
+        total, n = np.zeros(len(self.langs) + 1), 0
         for h in subwords(text):
             total += self.table[h].sum(axis=0, dtype=np.float64)
             n += len(h)
-        return (total / max(n, 1) + self.bias) / self.temperature
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, calibrated score, and whether the score is below the rejection level."""
-        if not text or not self.langs or not _LETTER.search(text):
-            return UNKNOWN, 0.0, True
-        p = np.exp((z := self.logits(text)) - z.max())
+        total /= max(n, 1)
+        z = (total[:-1] + self.bias) / self.temperature
+        p = np.exp(z - z.max())
         p /= p.sum()
         best = int(np.argmax(p))
-        return self.langs[best], float(p[best]), bool(p[best] < self.level)
+        return self.langs[best], float(p[best]), float(total[-1])
+
+    def rejects(self, score: float, typical: float) -> bool:
+        return score == 0 or score < self.level or typical < self.typical_level
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        lang, score, typical = self.figures(text)
+        return lang, score, self.rejects(score, typical)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, reject_rate: float = 5e-4, seed: int = 7) -> Model:
+def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, reject_rate: float = 1e-3, seed: int = 7) -> Model:
     """`rows`: (text, language)."""
     rows = [(t, lang) for t, lang in rows if t and _LETTER.search(t)]
     langs = sorted({lang for _, lang in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     examples = []
     for text, lang in rows:
@@ -110,57 +121,70 @@ def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, rejec
             bias -= 0.05 * step * g
             emb[bucket] -= step * scale * value[:, None] * back[None, :]
             steps += 1
-    model = Model(langs, (emb @ soft).astype(np.float32), bias)
-    z = np.array([examples[i][1] @ model.table[examples[i][0]] + bias for i in held])
-    y = np.array([examples[i][2] for i in held])
+    shares = np.full(BUCKETS, 0.01)
+    for i in seen:
+        np.add.at(shares, examples[i][0], examples[i][1])
+    model = Model(langs, np.column_stack([emb @ soft, np.log(shares / shares.sum())]).astype(np.float32), bias)
+    means = np.array([examples[i][1] @ model.table[examples[i][0]] for i in held])
+    z, y = means[:, :-1] + bias, np.array([examples[i][2] for i in held])
 
     def probabilities(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         return e / e.sum(axis=1, keepdims=True)
 
-    grid = [2.0**k for k in np.arange(-4, 4.5, 0.5)]
+    grid = [2.0**k for k in np.arange(-8, 4.25, 0.25)]
     model.temperature = min(grid, key=lambda t: -np.log(probabilities(t)[np.arange(len(y)), y] + 1e-12).mean())
-    top = np.sort(probabilities(model.temperature).max(axis=1))
-    k = int(reject_rate * (len(top) + 1))
-    model.level = float(top[k - 1]) if k else 0.0
+    k = int(reject_rate / 2 * (len(held) + 1))
+    if k:
+        model.level = float(np.sort(probabilities(model.temperature).max(axis=1))[k - 1])
+        model.typical_level = float(np.sort(means[:, -1])[k - 1])
     return model
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5000,
-        train_chars: int = 20_000, reject_rate: float = 5e-4) -> Model:
+        train_chars: int = 20_000, reject_rate: float = 1e-3) -> Model:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     short = F.length("text") <= train_chars
     n, every = rows.agg(F.count_if(short), F.count(F.lit(1))).first()
-    bound = min(train_rows, every // 2) if every >= 2 / reject_rate else train_rows
+    bound = min(train_rows, every // 2) if every >= 4 / reject_rate else train_rows
     sample = hash_sample(rows.where(short), F.col("id"), bound, 4, n)
     model = train([(r["text"], r["lang"]) for r in sample.collect()], reject_rate=reject_rate)
-    if model.langs and every > 1 / reject_rate:
+    if model.langs and every > 2 / reject_rate:
         outside = rows.where(~(short & in_hash_sample(F.col("id"), bound, 4, n)))
-        model.level = rejection_level(model, outside, reject_rate) or model.level
+        levels = rejection_levels(model, outside, reject_rate)
+        model.level, model.typical_level = levels.get("score", model.level), levels.get("typical", model.typical_level)
     return model
 
 
-def rejection_level(model: Model, rows: DataFrame, reject_rate: float) -> float:
-    """The largest step of the scores with fewer than reject_rate * (n + 1) of the n texts below it."""
-    found = rows.select(identify(model, F.col("text"))["score"].alias("score")).where("score > 0")  # 0: no letter
-    counts = sorted(map(tuple, found.groupBy(F.floor(F.col("score") * STEPS).alias("step")).count().collect()))  # at most STEPS + 1 rows
-    left = int(reject_rate * (sum(n for _, n in counts) + 1))
-    if left:
-        for step, n in counts:
+def rejection_levels(model: Model, rows: DataFrame, reject_rate: float) -> dict[str, float]:
+    """For each figure the largest step with at most reject_rate / 2 * (n + 1) of the n texts below it."""
+    figures = identify(model, F.col("text"))
+    found = rows.select(figures.alias("f")).where("f.score > 0")  # 0: no letter
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.floor(F.col(f"f.{k}") * STEPS).alias("step")) for k in ("score", "typical")]))
+    counts = found.select(each.alias("x")).groupBy("x.figure", "x.step").count().collect()  # at most STEPS + 16 * STEPS rows
+    levels = {}
+    for figure in ("score", "typical"):
+        own = sorted((r["step"], r["count"]) for r in counts if r["figure"] == figure)
+        left = int(reject_rate / 2 * (sum(n for _, n in own) + 1))
+        if not left:
+            continue
+        for step, n in own:
             left -= n
             if left <= 0:
-                return step / STEPS
-    return 0.0
+                levels[figure] = step / STEPS
+                break
+    return levels
 
 
 def identify(model: Model, text: Column) -> Column:
-    """The struct (lang, score, rejected) of each text."""
+    """The struct (lang, score, typical, rejected) of each text."""
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
+    @F.pandas_udf("lang string, score double, typical double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "rejected"])
+            found = [model.figures(t) for t in texts]
+            yield pd.DataFrame([(*f, model.rejects(f[1], f[2])) for f in found], columns=["lang", "score", "typical", "rejected"])
 
     return of(text)
 

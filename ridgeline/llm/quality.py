@@ -152,7 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, id_col: str =
     short = lambda d: d.where(F.length(F.coalesce("text", F.lit(""))) <= train_chars).select(id_col, *cols)
     rows = short(docs).join(F.broadcast(chosen), id_col).limit(4 * train_rows).collect()  # at most 2 * train_rows ids are sent
     pool = hash_sample(short(unlabelled), F.col(id_col), pool_rows, 16, unlabelled.select(id_col).count()).collect()
-    return co_train([(tuple(r[c] for c in cols), r["quality"]) for r in rows], [tuple(r[c] for c in cols) for r in pool])
+    return co_train([(tuple(r[c] for c in cols), r["quality"]) for r in rows], unmarked(rows, pool, id_col, cols))
+
+
+def unmarked(rows: list, pool: list, id_col: str, cols: list[str]) -> list[Row]:
+    """The pool without the labelled sample: rows that calibrate must not come back with pseudo-labels."""
+    marked = {r[id_col] for r in rows}
+    return [tuple(r[c] for c in cols) for r in pool if r[id_col] not in marked]
 
 
 def quality(model: Model, text: Column, source: Column, lang: Column, n_chars: Column) -> Column:

@@ -144,19 +144,59 @@ def test_language_stage_rejects_gibberish_with_its_defaults(spark, docs_of):
     syllables = {"en": ["the", "ing", "and", "er"], "de": ["sch", "ung", "ein", "ö"]}
     make = lambda lang: " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(12))
     clean = [(i, make(lang := "en" if i % 2 else "de"), lang) for i in range(7000)]
-    odd = [(10_000, "qzx vkjw pqtr zzxg wvvk", None), (10_002, "Привет как дела сегодня", None)]
+    odd = [(10_000, "qzx vkjw pqtr zzxg wvvk", None), (10_002, "Привет как дела сегодня", None), (10_004, "xkcd qqqq wxyz jjjk vbvb 99", None), (10_006, "日本語の文章です", None),
+           (10_008, "ahbx piq oomf upka gwu", None)]
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs_of(clean + odd), "").select("doc_id").collect()}
-    assert not kept & {10_000, 10_002}
+    assert not kept & {d for d, *_ in odd}
     assert len(kept) >= 0.998 * len(clean)
 
 
-def test_language_level_is_the_quantile_of_the_rows_outside_the_sample(spark, docs_of):
+def test_language_levels_are_quantiles_of_the_rows_outside_the_sample(spark, docs_of):
     model = language_id.train([("the and ing", "en"), ("sch ung ein", "de")] * 5)
     texts = [f"the {'and ' * (i % 40)} {'ung ' * (i % 7)} x{i}x" for i in range(300)]
-    scores = sorted(model.predict(t)[1] for t in texts)
-    level = language_id.rejection_level(model, docs_of(list(enumerate([*texts, None, "12"]))), 0.1)
-    assert level <= scores[29] < level + 1 / language_id.STEPS
-    assert language_id.rejection_level(model, docs_of(list(enumerate(texts))), 1e-3) == 0.0
+    levels = language_id.rejection_levels(model, docs_of(list(enumerate([*texts, None, "12"]))), 0.2)
+    for k, figure in ((1, "score"), (2, "typical")):
+        own = sorted(model.figures(t)[k] for t in texts)
+        assert levels[figure] <= own[29] < levels[figure] + 1 / language_id.STEPS
+    assert language_id.rejection_levels(model, docs_of(list(enumerate(texts))), 1e-3) == {}
+
+
+def test_language_of_held_out_documents(spark):
+    """Accuracy and calibration with the defaults of the query."""
+    from ridgeline.llm import entries
+
+    rows = entries.op4_language_id(spark, "/root/testdata/sf0.1").join(
+        entries.documents(spark, "/root/testdata/sf0.1").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    right = np.array([r["lang_pred"] == r["lang"] for r in rows])
+    score = np.array([r["score"] for r in rows])
+    assert len(rows) > 2000 and right.mean() > 0.99
+    assert abs(right.mean() - score.mean()) < 0.02
+    assert np.mean([r["rejected"] for r in rows]) < 0.005
+
+
+def plain_figures(model, text):
+    """The score without slices or tables: every byte n-gram by itself."""
+    raw = text.lower().encode().translate(language_id._BYTES)
+    grams = []
+    for n in language_id.ORDERS:
+        for i in range(len(raw) - n + 1):
+            h = n
+            for byte in raw[i : i + n]:
+                h = (h * 0x01000193 + byte) % (1 << 32)
+            grams.append((h * 0x9E3779B1) % (1 << 32) >> 18)
+    mean = sum(model.table[g].astype(float) for g in grams) / len(grams)
+    z = (mean[:-1] + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], p.max(), mean[-1]
+
+
+def test_language_figures_against_plain_python(monkeypatch):
+    model = language_id.train([("the and ing over", "en"), ("sch ung ein öl", "de"), ("los ñan de", "es")] * 9)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    for text in ("the thing", "Schöne  neue 1 Welt", "ñ", LONG[:3000], "El niño – de los años"):
+        lang, score, typical = model.figures(text)
+        want = plain_figures(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6 and abs(typical - want[2]) < 1e-6
 
 
 def brute_hits(text, items, window):
