@@ -59,7 +59,7 @@ def score(dense: np.ndarray, bias: float, text: str | None) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, bias + dense[f].sum()))))
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1,
+def train(rows: list[tuple[str | None, int]], epochs: int = 5, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1,
           seed: int = 8) -> Model:
     """`rows`: (text, 0 or 1)."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
