@@ -25,12 +25,27 @@ KIND = "region string, cand_id long, r int, c int, " + ", ".join(f"{o} {'long' i
 
 
 def tiles(dem: DataFrame, size: int) -> DataFrame:
-    """(region, tr, tc, pixels array<double>) with NaN for voids and for what lies off the map."""
-    placed = dem.select("region", F.expr(f"r div {size}").alias("tr"), F.expr(f"c div {size}").alias("tc"), ((F.col("r") % size) * size + F.col("c") % size).alias("i"),
-                        F.coalesce(F.col("z").cast("double"), F.lit(float("nan"))).alias("z"))
-    values = F.map_from_entries(F.collect_list(F.struct("i", "z")))
-    packed = placed.groupBy("region", "tr", "tc").agg(values.alias("m"))
-    return packed.select("region", "tr", "tc", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan")))).alias("pixels"))
+    """(region, tr, tc, at array<int>, pixels array<double>): the known pixels of each tile with their
+    places in it, row by row; what is not listed is a void or off the map."""
+    known = dem.where("z is not null").select("region", F.expr(f"r div {size}").alias("tr"), F.expr(f"c div {size}").alias("tc"), F.struct(
+        ((F.col("r") % size) * size + F.col("c") % size).cast("int").alias("at"), F.col("z").cast("double").alias("z")).alias("p"))
+    packed = known.groupBy("region", "tr", "tc").agg(F.collect_list("p").alias("p"))
+    return packed.select("region", "tr", "tc", F.col("p.at").alias("at"), F.col("p.z").alias("pixels"))
+
+
+def unpacked(at: np.ndarray, pixels: np.ndarray, size: int) -> np.ndarray:
+    z = np.full(size * size, np.nan)
+    z[np.asarray(at)] = np.asarray(pixels)
+    return z.reshape(size, size)
+
+
+def tile_size(reach: int, least: int = 64, most: int = 1024) -> int:
+    """A power of two about twice the reach of a ray, so that a tile of terrain meets the candidates of
+    at most nine tiles, or, for rays beyond `most` pixels, of few more."""
+    size = least
+    while size < min(2 * reach, most):
+        size *= 2
+    return size
 
 
 def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: ScanParams) -> pd.DataFrame:
@@ -80,19 +95,56 @@ def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: Sca
             highest[who] = upto
         before[at] = h
     column = np.cumsum(count[::-1], axis=0)[::-1][: p.bins]  # samples at or above each edge
-    return summarise(cand, start, azimuth, first, rise, column, top, p, step)
+    theta = np.radians([p.theta(b) for b in range(p.bins)])[:, None]
+    ok = accepted(first, rise, column * step / np.cos(theta) * p.rock_density * 0.1, p) & ~np.isnan(start)[None, :]
+    best = np.zeros(n)
+    if p.frequency_mhz:
+        best = clearance(z, r0, c0, row, col, sin, cos, start, first, ok, grid, p).reshape(p.bins, n, n_az).max(axis=(0, 2))
+    return summarise(cand, start, azimuth, first, rise, column, top, ok, best, p, step)
 
 
-def summarise(cand: pd.DataFrame, start: np.ndarray, azimuth: np.ndarray, first: np.ndarray, rise: np.ndarray, column: np.ndarray, top: np.ndarray, p: ScanParams,
-              step: float) -> pd.DataFrame:
-    n, shape = len(cand), (p.bins, len(cand), p.azimuths)
-    theta = np.radians([p.theta(b) for b in range(p.bins)])[:, None]
-    depth = column * step / np.cos(theta) * p.rock_density * 0.1
-    ok = (first >= p.min_dist) & (first <= p.max_dist) & (depth >= p.min_depth) & ~np.isnan(start)[None, :]
+def accepted(first: np.ndarray, rise: np.ndarray, depth: np.ndarray, p: ScanParams) -> np.ndarray:
+    ok = (first >= p.min_dist) & (first <= p.max_dist) & (depth >= p.min_depth)
     if p.min_target_slope is not None:
         ok &= rise >= math.tan(math.radians(p.min_target_slope))
     if p.max_target_slope is not None and p.max_target_slope < 90:
         ok &= rise <= math.tan(math.radians(p.max_target_slope))
+    return ok
+
+
+def clearance(z: np.ndarray, r0: int, c0: int, row: np.ndarray, col: np.ndarray, sin: np.ndarray, cos: np.ndarray, start: np.ndarray, first: np.ndarray, ok: np.ndarray,
+              grid: Grid, p: ScanParams) -> np.ndarray:
+    """(bins, rays): the smallest Fresnel ratio along the path of each accepted cell, 0 for others."""
+    step = p.step_m(grid)
+    near, wavelength = max(step, p.near_field), P.LIGHT_SPEED / (p.frequency_mhz * 1e6)
+    bins, rays = np.nonzero(ok)
+    end = first[bins, rays] - p.shower_offset
+    rise = np.tan(np.radians([p.theta(b) for b in range(p.bins)]))[bins]
+    worst = np.full(len(bins), 1e30)
+    live = np.nonzero((end > 2 * step) & (near <= end))[0]
+    d = near
+    while len(live):
+        who = rays[live]
+        tc, tr = col[who] + np.trunc(d * sin[who] / grid.cell_x).astype(np.int64), row[who] - np.trunc(d * cos[who] / grid.cell_y).astype(np.int64)
+        on = (tc >= 0) & (tc < grid.cols) & (tr >= 0) & (tr < grid.rows)
+        live, who, tc, tr = live[on], who[on], tc[on], tr[on]
+        h = z[tr - r0, tc - c0]
+        zone = np.sqrt(wavelength * d * (end[live] - d) / end[live])
+        gap = start[who] + p.antenna_height + d * rise[live] - (h - d * d / (2 * p.radio_earth_radius))
+        use = ~np.isnan(h) & (zone > 0)
+        worst[live[use]] = np.minimum(worst[live[use]], gap[use] / zone[use])
+        d += step
+        live = live[d <= end[live]]
+    found = np.zeros(ok.shape)
+    found[bins, rays] = worst
+    return np.where(ok, found, -np.inf if ok.any() else 0.0)
+
+
+def summarise(cand: pd.DataFrame, start: np.ndarray, azimuth: np.ndarray, first: np.ndarray, rise: np.ndarray, column: np.ndarray, top: np.ndarray, ok: np.ndarray,
+              clear: np.ndarray, p: ScanParams, step: float) -> pd.DataFrame:
+    n, shape = len(cand), (p.bins, len(cand), p.azimuths)
+    theta = np.radians([p.theta(b) for b in range(p.bins)])[:, None]
+    depth = column * step / np.cos(theta) * p.rock_density * 0.1
     total = lambda x: np.where(ok, x, 0).reshape(shape).sum(axis=(0, 2))
     cells = ok.reshape(shape).sum(axis=(0, 2))
     mean = lambda x: np.divide(total(x), cells, out=np.zeros(n), where=cells > 0)
@@ -113,15 +165,14 @@ def summarise(cand: pd.DataFrame, start: np.ndarray, azimuth: np.ndarray, first:
     return pd.DataFrame({
         "region": cand["region"].to_numpy(), "cand_id": cand["cand_id"].to_numpy(), "r": cand["r"].to_numpy(), "c": cand["c"].to_numpy(), "cells": cells, "solid_angle_sr": total(omega),
         "mean_distance_m": mean(np.where(np.isfinite(first), first, 0)), "max_depth_gcm2": np.where(ok, depth, 0).reshape(shape).max(axis=(0, 2)), "mean_depth_gcm2": mean(depth),
-        "horizon_deg": np.where(np.isfinite(best), np.degrees(np.arctan(np.where(np.isfinite(best), best, 0))), 0), "best_clearance_ratio": 0.0, "geomag_solid_angle_sr": total(omega * alpha),
+        "horizon_deg": np.where(np.isfinite(best), np.degrees(np.arctan(np.where(np.isfinite(best), best, 0))), 0), "best_clearance_ratio": np.where(np.isfinite(clear), clear, 0.0), "geomag_solid_angle_sr": total(omega * alpha),
         "path_grammage_gcm2": mean(gram), "earth_chord_gcm2": mean(chord), "target_slope_deg": mean(np.degrees(np.arctan(rise))), "altitude_m": [None if np.isnan(x) else x for x in z0]})
 
 
-def observables(candidates: DataFrame, dem: DataFrame, grid: Grid, p: ScanParams, size: int = 128) -> DataFrame:
-    """As scan.observables, without the Fresnel clearance."""
-    if p.frequency_mhz:
-        raise ValueError("the clearance of radio paths is computed by scan.observables")
+def observables(candidates: DataFrame, dem: DataFrame, grid: Grid, p: ScanParams, size: int | None = None) -> DataFrame:
+    """As scan.observables. The tile is fitted to the reach of a ray if no size is given."""
     reach_r, reach_c = (math.ceil(p.max_range / cell) + 1 for cell in (grid.cell_y, grid.cell_x))
+    size = size or tile_size(max(reach_r, reach_c))
     span_r, span_c = -(-reach_r // size), -(-reach_c // size)
     last_r, last_c = (grid.rows - 1) // size, (grid.cols - 1) // size
     near = lambda c, span, last: F.explode(F.sequence(F.greatest(F.col(c) - span, F.lit(0)), F.least(F.col(c) + span, F.lit(last))))
@@ -129,15 +180,16 @@ def observables(candidates: DataFrame, dem: DataFrame, grid: Grid, p: ScanParams
     around = packed.withColumn("kr", near("tr", span_r, last_r)).withColumn("kc", near("tc", span_c, last_c))
     placed = candidates.withColumn("kr", F.expr(f"r div {size}")).withColumn("kc", F.expr(f"c div {size}"))
     used = placed.select("region", "kr", "kc").distinct()
-    around = around.join(used, ["region", "kr", "kc"], "left_semi").select(*[F.col(c).alias(f"land_{c}") for c in ("region", "kr", "kc")], "tr", "tc", "pixels")
+    around = around.join(used, ["region", "kr", "kc"], "left_semi").select(*[F.col(c).alias(f"land_{c}") for c in ("region", "kr", "kc")], "tr", "tc", "at", "pixels")
 
     def scan(key: tuple, cand: pd.DataFrame, land: pd.DataFrame) -> pd.DataFrame:
         if not len(cand):
             return pd.DataFrame(columns=[c.split(" ")[0] for c in KIND.split(", ")])
-        a, b = int(land["tr"].min()), int(land["tc"].min())
-        z = np.full(((int(land["tr"].max()) - a + 1) * size, (int(land["tc"].max()) - b + 1) * size), np.nan)
-        for tr, tc, pixels in zip(land["tr"], land["tc"], land["pixels"], strict=True):
-            z[(tr - a) * size : (tr - a + 1) * size, (tc - b) * size : (tc - b + 1) * size] = np.asarray(pixels).reshape(size, size)
+        kr, kc = int(cand["kr"].iloc[0]), int(cand["kc"].iloc[0])
+        a, b = max(kr - span_r, 0), max(kc - span_c, 0)
+        z = np.full(((min(kr + span_r, last_r) - a + 1) * size, (min(kc + span_c, last_c) - b + 1) * size), np.nan)
+        for tr, tc, at, pixels in zip(land["tr"], land["tc"], land["at"], land["pixels"], strict=True):
+            z[(tr - a) * size : (tr - a + 1) * size, (tc - b) * size : (tc - b + 1) * size] = unpacked(at, pixels, size)
         return pd.concat([walk(z, a * size, b * size, part, grid, p) for part in _parts(cand)])
 
     return placed.groupBy("region", "kr", "kc").cogroup(around.groupBy("land_region", "land_kr", "land_kc")).applyInPandas(scan, KIND)

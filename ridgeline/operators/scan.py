@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import physics as P
 from ridgeline.sources.fixtures import Grid
+from ridgeline.sources.tables import stage
 
 
 @dataclass(frozen=True)
@@ -208,6 +209,8 @@ def observables(candidates: DataFrame, dem: DataFrame, grid: Grid, p: ScanParams
     candidates = with_altitude(candidates, dem)
     known = candidates.where("z0 is not null")
     per_bin = cells(seen(known, dem, grid, p), grid, p)
+    if p.frequency_mhz:  # two passes read them
+        per_bin, known = stage(per_bin, "cells"), stage(known, "known")
     hits = accepted(per_bin, p)
     omega = solid_angle(F.col("theta"), p)
     alpha = P.sin_alpha(F.col("azimuth"), F.col("theta"), P.field_vector(*p.field)) if p.field else F.lit(1.0)

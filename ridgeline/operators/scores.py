@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import physics as P
 from ridgeline.functions import scoring as S
+from ridgeline.sources.tables import stage
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,7 @@ def components(cfg: ScoreConfig, distance_window: tuple[float, float] | None = N
 
 def score(observed: DataFrame, cfg: ScoreConfig, distance_window: tuple[float, float] | None = None, available_sky: float | None = None) -> DataFrame:
     """Adds score_<component> (null where a component says nothing in this run) and score."""
+    observed = stage(observed, "observed")  # read for the flags, for the scores and by what follows
     rows = observed.join(F.broadcast(presence(observed)))  # one row of flags
     parts = components(cfg, distance_window, available_sky)
     rows = rows.select("*", *[c.alias(f"score_{n}") for n, c in parts.items()])

@@ -3,53 +3,93 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.masks import runs
+from ridgeline.sources.tables import stage
 
 SIN_60 = math.sin(math.radians(60))
 #: Names of the eight directions from north, clockwise.
 DIRECTIONS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
-    return df.checkpoint()
+#: Blocks of the map, in rows and columns, within which one task joins runs.
+BLOCK_ROWS, BLOCK_COLS = 256, 1024
 
 
 def label(mask: DataFrame, cols: int, max_rounds: int = 100) -> DataFrame:
     """(region, r, c, first, site_id) by 4-neighbourhood; site ids count regions in raster order.
 
-    Rows of pixels shrink to runs; runs of neighbouring rows that overlap are edges; the smallest
-    run number spreads by star contraction, which takes a logarithm of the longest path."""
-    rows = runs(mask, "r", "c").withColumn("id", F.col("r").cast("long") * cols + F.col("lo"))
-    below = rows.select("region", (F.col("r") - 1).alias("r"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("id2"))
-    edges = rows.join(below, ["region", "r"]).where("lo <= hi2 and lo2 <= hi").select("region", F.col("id2").alias("hi"), F.col("id").alias("lo"))
-    star, state = cut(edges), None
+    Rows of pixels shrink to runs, which are staged; runs of neighbouring rows that overlap are edges.
+    Edges within a block of the map are settled in one task, which is bounded by the block; what
+    crosses blocks is settled by star contraction between the blocks' roots."""
+    found = runs(mask, "r", "c").withColumn("id", F.col("r").cast("long") * cols + F.col("lo"))
+    rows = stage(found.withColumn("br", F.expr(f"r div {BLOCK_ROWS}")).withColumn("bc", F.expr(f"lo div {BLOCK_COLS}")), "runs")
+    below = rows.select("region", (F.col("r") - 1).alias("r"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("id2"), F.col("br").alias("br2"), F.col("bc").alias("bc2"))
+    own = (F.col("br") == F.col("br2")) & (F.col("bc") == F.col("bc2"))
+    edges = stage(rows.join(below, ["region", "r"]).where("lo <= hi2 and lo2 <= hi").select(
+        "region", "br", "bc", own.alias("own"), F.col("id2").alias("hi"), F.col("id").alias("lo")), "edges")
+    local = stage(edges.where("own").groupBy("region", "br", "bc").applyInPandas(_settle, "region string, id long, root long"), "blocks")
+    roots = local.select("region", F.col("id").alias("node"), F.col("root").alias("to"))
+    across = edges.where("not own").select("region", "hi", "lo")
+    for end in ("hi", "lo"):
+        across = across.join(roots.withColumnRenamed("node", end), ["region", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    tops = stage(_contracted(stage(across.select("region", F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct(), "across"), max_rounds), "tops")
+    joined = rows.join(roots.withColumnRenamed("node", "id"), ["region", "id"], "left").withColumn("root", F.coalesce("to", "id")).drop("to")
+    joined = joined.join(tops.select("region", F.col("hi").alias("root"), F.col("lo").alias("top")), ["region", "root"], "left")
+    rooted = stage(joined.select("region", "r", "lo", "hi", F.coalesce("top", "root").alias("first")), "rooted")
+    named = rooted.join(_numbered(rooted.select("region", "first").distinct(), BLOCK_ROWS * cols), ["region", "first"])
+    return named.select("region", "r", F.explode(F.sequence("lo", "hi")).alias("c"), "first", "site_id")
+
+
+def _settle(edges: pd.DataFrame) -> pd.DataFrame:
+    """The smallest run that each run of a block reaches within it."""
+    nodes, at = np.unique(np.concatenate([edges["hi"].to_numpy(), edges["lo"].to_numpy()]), return_inverse=True)
+    a, b = at[: len(edges)], at[len(edges) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        for x in (a, b, root[a], root[b]):
+            np.minimum.at(after, x, least)
+        after = after[after]
+        if (after == root).all():
+            return pd.DataFrame({"region": edges["region"].iloc[0], "id": nodes, "root": nodes[root]})
+        root = after
+
+
+def _contracted(star: DataFrame, max_rounds: int) -> DataFrame:
+    """(region, hi, lo): each node of `star(region, hi, lo)` to the smallest it reaches, by alternating
+    large and small star until nothing changes."""
+    state = None
+    if not star.take(1):
+        return star
     for _ in range(max_rounds):
         both = star.unionByName(star.select("region", F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("region", "hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
         large = both.join(least, ["region", "hi"]).where("lo > hi").select("region", F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         joined = large.join(large.groupBy("region", "hi").agg(F.min("lo").alias("m")), ["region", "hi"])
-        small = joined.select("region", F.col("lo").alias("hi"), F.col("m").alias("lo")).union(joined.select("region", "hi", F.col("m").alias("lo")))
-        star = cut(small.where("hi <> lo").distinct())
+        small = joined.select("region", F.col("lo").alias("hi"), F.col("m").alias("lo")).union(joined.select("region", "hi", F.col("m").alias("lo"))).where("hi <> lo").distinct()
+        star = stage(small, "star")
         now = star.agg(F.count(F.lit(1)), F.sum(F.col("lo").cast("decimal(30,0)")), F.sum(F.col("hi").cast("decimal(30,0)"))).first()
         if now == state:
-            break
+            return star
         state = now
-    else:
-        raise RuntimeError("labelling did not settle")
-    rooted = rows.join(star.select("region", F.col("hi").alias("id"), F.col("lo").alias("root")), ["region", "id"], "left")
-    rooted = rooted.select("region", "r", "lo", "hi", F.coalesce("root", "id").alias("first"))
-    order = rooted.select("region", "first").distinct().withColumn("site_id", F.row_number().over(Window.partitionBy("region").orderBy("first")))
-    named = rooted.join(order, ["region", "first"])
-    return named.select("region", "r", F.explode(F.sequence("lo", "hi")).alias("c"), "first", "site_id")
+    raise RuntimeError("labelling did not settle")
+
+
+def _numbered(firsts: DataFrame, block: int) -> DataFrame:
+    """site_id by order of `first` in each region: the place in a block of rows, and the blocks before."""
+    placed = firsts.withColumn("block", F.expr(f"first div {block}L"))
+    sizes = placed.groupBy("region", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("region").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("region", "block").orderBy("first"))
+    return placed.withColumn("k", within).join(sizes.select("region", "block", before.alias("before")), ["region", "block"]).select(
+        "region", "first", (F.col("before") + F.col("k")).cast("int").alias("site_id"))
 
 
 def areas(labels: DataFrame, px_km2: float) -> DataFrame:

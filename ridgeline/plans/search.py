@@ -15,7 +15,7 @@ from ridgeline.plans.arrival import FIELD, candidates
 from ridgeline.plans.base import query
 from ridgeline.sources import fixtures
 from ridgeline.sources.fixtures import Grid
-from ridgeline.sources.tables import downsample, scratch_dir
+from ridgeline.sources.tables import downsample, stage
 
 
 @dataclass(frozen=True)
@@ -44,13 +44,6 @@ class SearchParams:
     bulk: bool = True
 
 
-def stage(df: DataFrame, what: str) -> DataFrame:
-    """A stage's table in the shared folder: later stages and a resumed run read it."""
-    path = scratch_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search(dem: DataFrame, grid: Grid, p: SearchParams) -> tuple[DataFrame, DataFrame]:
     """Sites (region, site_id, pixels, area_km2, capacity_exact, mean_aspect_deg, facing_direction,
     selected, viz_id, total_capacity) and the funnel (pos, stage, n, of_dem, of_prev) of `dem`."""

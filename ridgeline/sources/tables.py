@@ -16,15 +16,30 @@ DEFAULT_CELL_DEG = 1 / 3600
 PLACE_RANK = {"city": 0, "town": 1, "village": 2}
 
 
-def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared checkpoint folder, set to one of our own where the session has none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; one of our own only where the session has none
+    and all tasks run in this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
-        base = sc.getCheckpointDir()
-    return f"{base}/ridgeline/{what}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+    return sc.getCheckpointDir()
+
+
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/ridgeline/{what}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, what: str) -> DataFrame:
+    """A stage's table in the shared folder: lineage ends there, and later stages read it, not recompute it."""
+    path = scratch_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def grid_geometry(dem: DataFrame, origin_lat: float, origin_lon: float, cell_deg: float | None = None, file_cell_deg: float | None = None) -> DataFrame:

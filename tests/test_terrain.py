@@ -130,3 +130,27 @@ def test_crop_and_downsample_number_from_zero(spark):
     assert tables.crop(ground, (2, 5), (3, 10)).agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first() == (0, 2, 0, 6)
     assert tables.downsample(ground, 4).agg(F.count(F.lit(1)), F.max("r")).first() == (9, 2)
     assert screening.ingest(ground.withColumn("z", F.lit(-500.0))).where("z is null").count() == 100
+
+
+def test_labels_across_blocks_against_flood_fill(spark, monkeypatch):
+    import random
+
+    from ridgeline.operators import sites
+
+    monkeypatch.setattr(sites, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(sites, "BLOCK_COLS", 4)
+    rng = random.Random(4)
+    true = {(r, c) for r in range(23) for c in range(19) if rng.random() < 0.6}
+    first = {}
+    for start in sorted(true):
+        if start not in first:
+            todo = [start]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in true and (r, c) not in first:
+                    first[r, c] = start[0] * 19 + start[1]
+                    todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    rank = {f: k for k, f in enumerate(sorted(set(first.values())), start=1)}
+    got = sites.label(spark.createDataFrame([("a", r, c) for r, c in true], "region string, r int, c int"), 19).collect()
+    assert {(x["r"], x["c"]): (x["first"], x["site_id"]) for x in got} == {p: (f, rank[f]) for p, f in first.items()}
+    assert sites.label(spark.createDataFrame([], "region string, r int, c int"), 19).count() == 0
