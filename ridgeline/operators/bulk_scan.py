@@ -39,11 +39,11 @@ def unpacked(at: np.ndarray, pixels: np.ndarray, size: int) -> np.ndarray:
     return z.reshape(size, size)
 
 
-def tile_size(reach: int, least: int = 64, most: int = 1024) -> int:
-    """A power of two about twice the reach of a ray, so that a tile of terrain meets the candidates of
-    at most nine tiles, or, for rays beyond `most` pixels, of few more."""
+def tile_size(reach: int, least: int = 32, most: int = 1024) -> int:
+    """A power of two, at least two fifths of the reach of a ray in pixels: small enough to give many
+    tasks, large enough that a tile of terrain goes to 49 tiles of candidates at most (up to `most`)."""
     size = least
-    while size < min(2 * reach, most):
+    while size < min(0.4 * reach - 8, most):
         size *= 2
     return size
 
@@ -83,7 +83,7 @@ def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: Sca
         top[at] = np.maximum(top[at], slope)
         reached = np.searchsorted(edges, slope, side="right")  # bins whose lower edge is reached
         some = reached > 0
-        np.add.at(count, (reached[some] - 1, at[some]), 1)
+        count[reached[some] - 1, at[some]] += 1  # each ray once
         fresh = reached > highest[at]
         if fresh.any():
             who, upto = at[fresh], reached[fresh]

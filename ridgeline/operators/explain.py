@@ -6,24 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Funnel stages by prefix with the setting that each answers to.
-STAGE_KNOBS = [
-    ("finite elevation", "voids of the elevation model"),
-    ("slope", "min_slope_deg / max_slope_deg"),
-    ("altitude", "min_altitude / max_altitude"),
-    ("aspect", "min_aspect_deg / max_aspect_deg"),
-    ("road", "max_road_dist_km"),
-    ("outside RFI", "rfi_zones"),
-    ("kept by stride", "candidate_stride"),
-    ("directions accepted", "arrival, distance, depth and target slope windows"),
-    ("score >=", "min_score"),
-    ("score in top", "score_percentile"),
-    ("after gap closing", "gap_close_km"),
-    ("after pruning", "min_width_km"),
-    ("pixels in selected sites", "min_sub_array_size and target_antennas"),
-]
-#: Stages that do not reject ground.
-NOT_A_CUT = ("kept by stride", "after gap closing", "pixels in selected sites")
+from ridgeline import stages
+
 #: The observable that shows how strong a component is.
 EVIDENCE = {
     "solid_angle": "solid_angle_sr", "depth": "max_depth_gcm2", "distance": "mean_distance_m", "shower": "path_grammage_gcm2", "footprint": "altitude_m",
@@ -34,7 +18,8 @@ FRAGMENTED = 0.01
 
 
 def stage_knob(stage: Column) -> Column:
-    return F.coalesce(*[F.when(F.lower(stage).startswith(p.lower()), F.lit(k)) for p, k in STAGE_KNOBS])
+    """The settings of a stage as text, null for a stage that none governs."""
+    return F.coalesce(*[F.when(stage == name, F.lit(" / ".join(fields))) for name, fields in stages.SETTINGS.items()])
 
 
 def binding_constraint(funnels: DataFrame) -> DataFrame:
@@ -42,10 +27,7 @@ def binding_constraint(funnels: DataFrame) -> DataFrame:
     A stage that keeps nothing is fatal, wins, and ends the account: later ones are not looked at."""
     w = Window.partitionBy("run").orderBy("pos")
     steps = funnels.withColumn("before", F.lag("n").over(w))
-    skipped = F.lit(False)
-    for p in NOT_A_CUT:
-        skipped = skipped | F.lower("stage").startswith(p.lower())
-    steps = steps.where(~skipped & (F.col("before") > 0)).withColumn("kept", F.col("n") / F.col("before")).withColumn("fatal", F.col("n") == 0)
+    steps = steps.where(~F.col("stage").isin(*stages.NOT_A_CUT) & (F.col("before") > 0)).withColumn("kept", F.col("n") / F.col("before")).withColumn("fatal", F.col("n") == 0)
     earlier = F.coalesce(F.max(F.col("fatal").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     steps = steps.withColumn("after_fatal", earlier).where("after_fatal = 0")
     order = F.struct((~F.col("fatal")).alias("f"), F.col("kept").alias("k"), F.col("pos").alias("p"))
@@ -65,7 +47,7 @@ def split_selected(sites: DataFrame, totals: DataFrame) -> DataFrame:
 def closing_inflation(funnels: DataFrame, strides: DataFrame) -> DataFrame:
     """Pixels after gap closing over what the stage before stands for."""
     w = Window.partitionBy("run").orderBy("pos")
-    steps = funnels.withColumn("before", F.lag("n").over(w)).where(F.lower("stage").startswith("after gap closing") & F.col("before").isNotNull())
+    steps = funnels.withColumn("before", F.lag("n").over(w)).where((F.col("stage") == stages.CLOSED) & F.col("before").isNotNull())
     return steps.join(strides, "run").select("run", F.expr("try_divide(n, before * greatest(1, coalesce(stride, 1)))").alias("inflation"))
 
 
@@ -101,17 +83,17 @@ def shared_strengths(sites: DataFrame, threshold: float = STRONG) -> DataFrame:
 
 
 def band_overlap(bands: DataFrame) -> DataFrame:
-    """`bands(run, band, lo, hi)` to pairs of runs with width and share of the narrower band. A band
-    named aspect goes round the circle: from a larger to a smaller end it is two intervals."""
+    """`bands(campaign, run, band, lo, hi)` to pairs of runs of one campaign with width and share of the
+    narrower band. A campaign holds the handful of experiments that are compared. A band named aspect goes round the circle: from a larger to a smaller end it is two intervals."""
     wraps = (F.col("band") == "aspect") & (F.col("lo") > F.col("hi"))
     part = lambda lo, hi: F.struct(lo.alias("x0"), hi.alias("x1"))
     parts = F.when(wraps, F.array(part(F.col("lo"), F.lit(360.0)), part(F.lit(0.0), F.col("hi")))).otherwise(F.array(part(F.col("lo"), F.col("hi"))))
     width = F.when(wraps, 360.0 - F.col("lo") + F.col("hi")).otherwise(F.col("hi") - F.col("lo"))
-    known = bands.where("lo is not null and hi is not null").withColumn("own", width).select("run", "band", "own", F.inline(parts))
-    a = known.select("band", *[F.col(c).alias(f"{c}_a") for c in ("run", "own", "x0", "x1")])
-    b = known.select("band", *[F.col(c).alias(f"{c}_b") for c in ("run", "own", "x0", "x1")])
+    known = bands.where("lo is not null and hi is not null").withColumn("own", width).select("campaign", "run", "band", "own", F.inline(parts))
+    a = known.select("campaign", "band", *[F.col(c).alias(f"{c}_a") for c in ("run", "own", "x0", "x1")])
+    b = known.select("campaign", "band", *[F.col(c).alias(f"{c}_b") for c in ("run", "own", "x0", "x1")])
     common = F.greatest(F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b"), F.lit(0.0))
-    s = a.join(b, "band").where("run_a < run_b").groupBy("run_a", "run_b", "band").agg(F.sum(common).alias("width"), F.first(F.least("own_a", "own_b")).alias("narrower"))
+    s = a.join(b, ["campaign", "band"]).where("run_a < run_b").groupBy("run_a", "run_b", "band").agg(F.sum(common).alias("width"), F.first(F.least("own_a", "own_b")).alias("narrower"))
     return s.select("run_a", "run_b", "band", "width", F.coalesce(F.expr("try_divide(width, narrower)"), F.lit(0.0)).alias("share_of_narrower"))
 
 
@@ -178,21 +160,25 @@ def compare_regions(runs: DataFrame, baseline: str) -> DataFrame:
 
 
 def box_overlaps(boxes: DataFrame) -> DataFrame:
-    """Pairs of overlapping boxes (name, south, north, west, east) with the ground they share in km2."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    """Pairs of overlapping boxes (name, south, north, west, east) with the ground they share in km2. Boxes
+    meet in the cells of a one-degree grid that they touch; a pair counts in its overlap's first cell."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
+    placed = boxes.withColumn("gy", cells(F.col("south"), F.col("north"))).withColumn("gx", cells(F.col("west"), F.col("east")))
+    a, b = placed.alias("a"), placed.alias("b")
     south, north = F.greatest("a.south", "b.south"), F.least("a.north", "b.north")
     west, east = F.greatest("a.west", "b.west"), F.least("a.east", "b.east")
     km2 = (north - south) * 110.6 * (east - west) * 111.32 * F.cos(F.radians((north + south) / 2))
-    return a.join(b, (F.col("a.name") < F.col("b.name")) & (F.col("a.south") < F.col("b.north")) & (F.col("b.south") < F.col("a.north")) &
+    first = (F.col("a.gy") == F.floor(south)) & (F.col("a.gx") == F.floor(west))
+    return a.join(b, (F.col("a.gy") == F.col("b.gy")) & (F.col("a.gx") == F.col("b.gx")) & first & (F.col("a.name") < F.col("b.name")) & (F.col("a.south") < F.col("b.north")) & (F.col("b.south") < F.col("a.north")) &
                   (F.col("a.west") < F.col("b.east")) & (F.col("b.west") < F.col("a.east"))).select(
         F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), km2.alias("overlap_km2"))
 
 
 def run_summary(funnels: DataFrame) -> DataFrame:
-    """accepted: the first score stage, else the directions accepted; acceptance: of what the stride kept."""
-    at = lambda p: F.min_by("n", F.when(F.lower("stage").startswith(p), F.col("pos")))
-    s = funnels.groupBy("run").agg(at("dem pixels").alias("dem_pixels"), at("kept by stride").alias("kept"), F.coalesce(at("score "), at("directions accepted")).alias("accepted"),
-                                   at("after pruning").alias("pruned"))
+    """accepted: after the score cut, else the directions accepted; acceptance: of what the stride kept."""
+    at = lambda name: F.max(F.when(F.col("stage") == name, F.col("n")))
+    s = funnels.groupBy("run").agg(at(stages.DEM).alias("dem_pixels"), at(stages.STRIDE).alias("kept"), F.coalesce(at(stages.SCORE), at(stages.DIRECTIONS)).alias("accepted"),
+                                   at(stages.PRUNED).alias("pruned"))
     return s.withColumn("acceptance", F.expr("try_divide(accepted, kept)"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline import stages
 from ridgeline.operators import combine as C
 from ridgeline.operators import explain as X
 from ridgeline.operators import scan as A
@@ -15,23 +16,24 @@ from ridgeline.plans.ground import ground
 from ridgeline.plans.overlay import MASKS, RUNS, codes
 from ridgeline.sources import fixtures, tables
 
-STAGES = ["DEM pixels", "finite elevation", "slope", "altitude", "kept by stride", "directions accepted", "score >= 0.35", "after gap closing", "after pruning", "pixels in selected sites (est.)"]
+STAGES = [stages.DEM, stages.FINITE, stages.SLOPE, stages.ALTITUDE, stages.STRIDE, stages.DIRECTIONS, stages.SCORE, stages.CLOSED, stages.PRUNED, stages.SELECTED]
 #: Funnels of runs from orders: counts fall at shares that the order's key and price give.
 FUNNEL_SQL = f"""st as (select unnest(range(10)) as pos, unnest({STAGES}) as stage),
   funnel as (select o_orderkey as run, pos, stage, case when pos >= 5 and o_orderkey % 11 = 0 then 0 when pos = 7 then 900 + o_orderkey % 700
-     else cast(floor(1000000.0 / (1 + pos * (1 + o_orderkey % 5)) / (1 + (o_orderkey * (pos + 3)) % 7)) as bigint) end as n from orders, st where o_orderkey < 400)"""
+     else cast(floor(1000000.0 / (1 + pos * (1 + o_orderkey % 5)) / (1 + (o_orderkey * (pos + 3)) % 7)) as bigint) end as n from orders, st)"""
 
 
 def funnels(spark: SparkSession, sf: str) -> DataFrame:
     k, pos = F.col("run"), F.col("pos")
-    rows = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 400").select(F.col("o_orderkey").alias("run"), F.posexplode(F.array(*map(F.lit, STAGES))).alias("pos", "stage"))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("run"), F.posexplode(F.array(*map(F.lit, STAGES))).alias("pos", "stage"))
     n = F.when((pos >= 5) & (k % 11 == 0), 0).when(pos == 7, 900 + k % 700).otherwise(F.floor(1000000.0 / (1 + pos * (1 + k % 5)) / (1 + (k * (pos + 3)) % 7)))
     return rows.withColumn("n", n.cast("long"))
 
 
-KNOBS = "case " + " ".join(f"when lower(stage) like '{p.lower()}%' then '{k}'" for p, k in X.STAGE_KNOBS) + " end"
+KNOBS = "case stage " + " ".join(f"when '{p}' then '{' / '.join(k)}'" for p, k in stages.SETTINGS.items()) + " end"
+SKIPPED = ", ".join(f"'{p}'" for p in stages.NOT_A_CUT)
 BINDING = FUNNEL_SQL + f""", step as (select *, lag(n) over (partition by run order by pos) as before from funnel),
-  cut as (select *, n / before as kept, n = 0 as fatal from step where before > 0 and not (stage like 'kept by stride%' or stage like 'after gap closing%' or stage like 'pixels in selected%')),
+  cut as (select *, n / before as kept, n = 0 as fatal from step where before > 0 and stage not in ({SKIPPED})),
   live as (select * from (select *, max(fatal::int) over (partition by run order by pos rows between unbounded preceding and 1 preceding) as dead from cut) where coalesce(dead, 0) = 0),
   binding as (select run, stage, before, n, kept, fatal, {KNOBS} as knob from (select *, row_number() over (partition by run order by (not fatal), kept, pos) as k from live) where k = 1)"""
 
@@ -41,26 +43,27 @@ def binding_constraint(spark, sf):
     return X.binding_constraint(funnels(spark, sf)).withColumn("kept", F.round("kept", 9))
 
 
-SITES_SQL = """srec as (select o_custkey % 60 as run, o_orderkey as site_id, row_number() over (partition by o_custkey % 60 order by o_orderkey) as pos, floor(o_totalprice / 1000) / 100 as area_km2,
-    cast(floor(o_totalprice / 500) as bigint) as capacity_exact, case when o_custkey % 60 < 40 then o_orderkey % 3 > 0 end as selected,
-    ((o_orderkey * 7) % 100) / 100.0 as s_depth, ((o_orderkey * 13) % 100) / 100.0 as s_distance, ((o_orderkey * 29) % 40 + 60) / 100.0 as s_shower from orders where o_orderkey < 1500)"""
+SITES_SQL = """srec as (select o_custkey as run, o_orderkey as site_id, row_number() over (partition by o_custkey order by o_orderkey) as pos, floor(o_totalprice / 1000) / 100 as area_km2,
+    cast(floor(o_totalprice / 500) as bigint) as capacity_exact, case when o_custkey % 3 > 0 then o_orderkey % 3 > 0 end as selected,
+    ((o_orderkey * 7) % 100) / 100.0 as s_depth, ((o_orderkey * 13) % 100) / 100.0 as s_distance, ((o_orderkey * 29) % 40 + 60) / 100.0 as s_shower from orders)"""
 
 
 def site_records(spark: SparkSession, sf: str) -> DataFrame:
-    k, run = F.col("o_orderkey"), F.col("o_custkey") % 60
+    k, run = F.col("o_orderkey"), F.col("o_custkey")
     pairs = {"score_depth_p50": ((k * 7) % 100) / 100, "score_distance_p50": ((k * 13) % 100) / 100, "score_shower_p50": ((k * 29) % 40 + 60) / 100,
              "max_depth_gcm2_p50": k * 10.0, "mean_distance_m_p50": k * 2.0, "score_depth_mean": F.lit(0.01)}
     scan = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
-    return spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 1500").select(
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
         run.alias("run"), k.alias("site_id"), F.row_number().over(Window.partitionBy(run).orderBy(k)).alias("pos"), (F.floor(F.col("o_totalprice") / 1000) / 100).alias("area_km2"),
-        F.floor(F.col("o_totalprice") / 500).cast("long").alias("capacity_exact"), F.when(run < 40, k % 3 > 0).alias("selected"), scan.alias("arrival_scan"))
+        F.floor(F.col("o_totalprice") / 500).cast("long").alias("capacity_exact"), F.when(run % 3 > 0, k % 3 > 0).alias("selected"), scan.alias("arrival_scan"))
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(60).select(F.col("id").alias("run"), F.when(F.col("id") % 2 == 0, 3).alias("total_sites"))
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("run"), F.when(k % 2 == 0, 3).alias("total_sites"))
 
 
-SPLIT = SITES_SQL + ", split as (select *, case when run < 40 then selected else run % 2 = 1 or pos <= 3 end as is_selected from srec)"
+SPLIT = SITES_SQL + ", split as (select *, case when run % 3 > 0 then selected else run % 2 = 1 or pos <= 3 end as is_selected from srec)"
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,11 +110,11 @@ def shared_strengths(spark, sf):
     return X.shared_strengths(site_records(spark, sf), 0.6)
 
 
-BANDS_SQL = """bands as (select s_suppkey as run, unnest(['slope', 'altitude', 'aspect']) as band, unnest([s_suppkey % 10 * 1.0, 1000.0 + s_suppkey * 10, (s_suppkey * 53) % 360 * 1.0]) as lo,
-    unnest([15.0 + s_suppkey % 20, 3000.0 + s_suppkey * 7, (s_suppkey * 97) % 360 * 1.0]) as hi from supplier where s_suppkey < 40)"""
-OVERLAP = BANDS_SQL + """, part as (select run, band, case when band = 'aspect' and lo > hi then 360 - lo + hi else hi - lo end as own, lo as x0, case when band = 'aspect' and lo > hi then 360.0 else hi end as x1 from bands
-    union all select run, band, 360 - lo + hi, 0.0, hi from bands where band = 'aspect' and lo > hi),
-  over_ as (select a.run as run_a, b.run as run_b, a.band, sum(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0)) as width, any_value(least(a.own, b.own)) as narrower from part a join part b on a.band = b.band and a.run < b.run group by all),
+BANDS_SQL = """bands as (select s_suppkey // 8 as campaign, s_suppkey as run, unnest(['slope', 'altitude', 'aspect']) as band, unnest([s_suppkey % 10 * 1.0, 1000.0 + s_suppkey * 10, (s_suppkey * 53) % 360 * 1.0]) as lo,
+    unnest([15.0 + s_suppkey % 20, 3000.0 + s_suppkey * 7, (s_suppkey * 97) % 360 * 1.0]) as hi from supplier)"""
+OVERLAP = BANDS_SQL + """, part as (select campaign, run, band, case when band = 'aspect' and lo > hi then 360 - lo + hi else hi - lo end as own, lo as x0, case when band = 'aspect' and lo > hi then 360.0 else hi end as x1 from bands
+    union all select campaign, run, band, 360 - lo + hi, 0.0, hi from bands where band = 'aspect' and lo > hi),
+  over_ as (select a.run as run_a, b.run as run_b, a.band, sum(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0)) as width, any_value(least(a.own, b.own)) as narrower from part a join part b on a.campaign = b.campaign and a.band = b.band and a.run < b.run group by all),
   overlap as (select run_a, run_b, band, width, coalesce(width / nullif(narrower, 0), 0) as share_of_narrower from over_)"""
 
 
@@ -119,7 +122,7 @@ def bands(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     three = F.array(*[F.struct(F.lit(b).alias("band"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi")) for b, lo, hi in (
         ("slope", k % 10, 15 + k % 20), ("altitude", 1000 + k * 10, 3000 + k * 7), ("aspect", (k * 53) % 360, (k * 97) % 360))])
-    return spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey < 40").select(k.alias("run"), F.inline(three))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(F.expr("s_suppkey div 8").alias("campaign"), k.alias("run"), F.inline(three))
 
 
 @query("band_overlap", f"with {OVERLAP} select run_a, run_b, band, round(width, 6) as width, round(share_of_narrower, 9) as share_of_narrower from overlap")
@@ -128,15 +131,16 @@ def band_overlap(spark, sf):
 
 
 def heads(spark: SparkSession, sf: str) -> DataFrame:
-    targets = spark.range(60).select(F.col("id").alias("run"), (F.col("id") * 100 + 500).alias("target"))
+    k = F.col("c_custkey")
+    targets = spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("run"), (k % 60 * 100 + 500).alias("target"))
     return X.headline(split(spark, sf), targets)
 
 
 @query("headline", f"""with {SPLIT}, h as (select run, count(*) filter (is_selected) as sites, coalesce(sum(area_km2) filter (is_selected), 0) as area_km2, cast(coalesce(sum(capacity_exact) filter (is_selected), 0) as bigint) as capacity,
       coalesce(sum(area_km2) filter (not is_selected), 0) as reserve_km2 from split group by run),
     l as (select run, site_id as largest_site from (select *, row_number() over (partition by run order by capacity_exact desc, site_id) as k from split where is_selected) where k = 1)
-    select r as run, r * 100 + 500 as target, coalesce(sites, 0) as sites, round(coalesce(area_km2, 0), 2) as area_km2, coalesce(capacity, 0) as capacity, largest_site, round(coalesce(reserve_km2, 0), 2) as reserve_km2,
-      greatest(r * 100 + 500 - coalesce(capacity, 0), 0) as shortfall from (select unnest(range(60)) as r) left join h on h.run = r left join l on l.run = r""")
+    select r as run, r % 60 * 100 + 500 as target, coalesce(sites, 0) as sites, round(coalesce(area_km2, 0), 2) as area_km2, coalesce(capacity, 0) as capacity, largest_site, round(coalesce(reserve_km2, 0), 2) as reserve_km2,
+      greatest(r % 60 * 100 + 500 - coalesce(capacity, 0), 0) as shortfall from (select c_custkey as r from customer) left join h on h.run = r left join l on l.run = r""")
 def headline(spark, sf):
     return heads(spark, sf).withColumn("area_km2", F.round("area_km2", 2)).withColumn("reserve_km2", F.round("reserve_km2", 2))
 
@@ -148,12 +152,12 @@ def pass_rates(spark, sf):
 
 
 RUN_FACTS = """facts as (select o_orderkey as run, case when o_orderkey % 3 > 0 then 0.35 end as min_score, case when o_orderkey % 4 = 0 then 10.0 end as score_percentile,
-    case when o_orderkey % 5 > 0 then (o_orderkey % 2) * 0.5 end as gap_close_km, 1 + o_orderkey % 3 as stride, o_orderkey % 6 as sites from orders where o_orderkey < 400)"""
+    case when o_orderkey % 5 > 0 then (o_orderkey % 2) * 0.5 end as gap_close_km, 1 + o_orderkey % 3 as stride, o_orderkey % 6 as sites from orders)"""
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey < 400").select(
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
         k.alias("run"), F.when(k % 3 > 0, 0.35).alias("min_score"), F.when(k % 4 == 0, 10.0).alias("score_percentile"), F.when(k % 5 > 0, (k % 2) * 0.5).alias("gap_close_km"),
         (1 + k % 3).alias("stride"), (k % 6).alias("sites"))
 
@@ -175,7 +179,7 @@ RUN_BANDS = [("gentle", "slope", 3.0, 25.0), ("steep", "slope", 15.0, 60.0), ("s
     select run, pixels, round(joint_share, 9) as joint_share, band as tightest_band, other as with_run, cast(round(share, 9) as double) as band_share from s left join t using (run)""")
 def combination_summary(spark, sf):
     shares = C.run_shares(codes(spark, sf), RUNS, 1.0)
-    table = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(b).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for r, b, lo, hi in RUN_BANDS])
+    table = F.array(*[F.struct(F.lit(0).alias("campaign"), F.lit(r).alias("run"), F.lit(b).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for r, b, lo, hi in RUN_BANDS])
     c = X.combination(shares, X.band_overlap(spark.range(1).select(F.inline(table))))
     return c.withColumn("joint_share", F.round("joint_share", 9)).withColumn("band_share", F.round("band_share", 9))
 

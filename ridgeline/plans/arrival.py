@@ -194,6 +194,6 @@ def fresnel_clearance(spark, sf):
     s as (select cand_id, sum(weight / (dist * dist)) as x from far where (cand_id, zr, zc) not in (select (cand_id, zr, zc) from blocked) group by cand_id)
     select cand_id, round(coalesce(x, 0), 9) as rfi_exposure from cand left join s using (cand_id)""")
 def rfi_exposure(spark, sf):
-    src = fixtures.circles(spark, sf).select("zr", "zc", (1.0 + F.col("zone_id")).alias("weight"))
+    src = fixtures.circles(spark, sf).where("zone_id < 10").select("zr", "zc", (1.0 + F.col("zone_id")).alias("weight"))
     o = A.rfi_exposure(candidates(spark, sf), fixtures.dem(spark, sf), src, fixtures.grid(spark, sf), ST)
     return o.select("cand_id", F.round("rfi_exposure", 9).alias("rfi_exposure"))

@@ -176,7 +176,7 @@ def screen_aspect(spark, sf):
 
 
 ROADS = "road as (select o_orderkey // w.w as r, o_orderkey % w.w as c, floor(o_totalprice / 20) as dist_m from orders, w where o_orderkey < w.w * w.w)"
-ZONES = "zone as (select s_suppkey as zone_id, s_suppkey * 37 % w.w as zr, s_suppkey * 61 % w.w as zc, abs(floor(s_acctbal / 100)) + 60 as radius_m from supplier, w where s_suppkey < 10)"
+ZONES = "zone as (select s_suppkey as zone_id, s_suppkey * 37 % w.w as zr, s_suppkey * 61 % w.w as zc, abs(floor(s_acctbal / 100)) + 60 as radius_m from supplier, w)"
 IN_CIRCLE = f"exists (select 1 from zone where power((r - zr) * {CY}, 2) + power((c - zc) * {CX}, 2) < radius_m * radius_m)"
 POLYS = """poly as (select * from (values (0,0,0.1,0.1),(0,1,0.4,0.12),(0,2,0.38,0.35),(0,3,0.12,0.3),(1,0,0.5,0.5),(1,1,0.9,0.55),(1,2,0.62,0.62),(1,3,0.55,0.9)) v(zone_id,i,x,y)),
     edge as (select a.zone_id, a.x * w.w + 0.01 as ax, a.y * w.w + 0.01 as ay, b.x * w.w + 0.01 as bx, b.y * w.w + 0.01 as by_ from poly a join poly b on a.zone_id = b.zone_id and b.i = (a.i + 1) % 4, w),

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline import stages
 from ridgeline.operators import bulk_scan, scan, scores
 from ridgeline.operators import masks as K
 from ridgeline.operators import screening as S
@@ -18,6 +19,16 @@ from ridgeline.sources.fixtures import Grid
 from ridgeline.sources.tables import downsample, stage
 
 
+@dataclass(frozen=True)
+class Surroundings:
+    """Tables beside the terrain: road_dist(region, r, c, dist_m), circles(zone_id, zr, zc, radius_m) and
+    polygons(zone_id, verts), in pixels."""
+
+    road_dist: DataFrame | None = None
+    circles: DataFrame | None = None
+    polygons: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class SearchParams:
     min_slope: float = 3.0
@@ -26,6 +37,7 @@ class SearchParams:
     max_altitude: float | None = None
     min_aspect: float | None = None
     max_aspect: float | None = None
+    max_road_km: float | None = None
     stride: int = 5
     tile: int = 2048
     scan: scan.ScanParams = field(default_factory=scan.ScanParams)
@@ -42,66 +54,105 @@ class SearchParams:
     min_sub_array: int = 500
     stop_at_target: bool = False
     bulk: bool = True
+    origin: tuple[float, float] | None = None
 
 
-def search(dem: DataFrame, grid: Grid, p: SearchParams) -> tuple[DataFrame, DataFrame]:
-    """Sites (region, site_id, pixels, area_km2, capacity_exact, mean_aspect_deg, facing_direction,
-    selected, viz_id, total_capacity) and the funnel (pos, stage, n, of_dem, of_prev) of `dem`."""
+#: Observables whose distribution each site reports.
+REPORTED = ["solid_angle_sr", "mean_distance_m", "max_depth_gcm2", "horizon_deg", "altitude_m"]
+
+
+def screened(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings) -> tuple[DataFrame, DataFrame]:
+    """Ground that passes all cuts, with its aspect, and the counts (pos, stage, n) of the cuts: one pass
+    for all that a pixel tells of itself, then the zones."""
     ground = S.gradients(dem, grid.cell_y, grid.cell_x)
-    cuts = [("DEM pixels", F.lit(True)), ("slope", S.slope_band(p.min_slope, p.max_slope))]
+    cuts = [(stages.DEM, F.lit(True)), (stages.FINITE, F.col("z").isNotNull()), (stages.SLOPE, S.slope_band(p.min_slope, p.max_slope))]
     if p.min_altitude is not None or p.max_altitude is not None:
-        cuts.append(("altitude", S.altitude_band(p.min_altitude, p.max_altitude)))
+        cuts.append((stages.ALTITUDE, S.altitude_band(p.min_altitude, p.max_altitude)))
     if p.min_aspect is not None and p.max_aspect is not None:
-        cuts.append(("aspect", S.aspect_band(S.aspect_deg(), p.min_aspect, p.max_aspect)))
+        cuts.append((stages.ASPECT, S.aspect_band(S.aspect_deg(), p.min_aspect, p.max_aspect)))
+    if p.max_road_km is not None and around.road_dist is not None:
+        ground = ground.join(around.road_dist.select("region", "r", "c", "dist_m"), ["region", "r", "c"], "left")
+        cuts.append((stages.ROAD, F.col("dist_m") <= p.max_road_km * 1000))
     counts = S.funnel(cuts, ground).select("pos", "stage", "n")
     passed = ground
     for _, test in cuts[1:]:
         passed = passed.where(test)
-    kept = S.thin(passed.withColumn("aspect", S.aspect_deg()), p.stride, p.tile)
+    passed = passed.select("region", "r", "c", S.aspect_deg().alias("aspect"))
+    if around.circles is None and around.polygons is None:
+        return passed, counts
+    if around.circles is not None:
+        passed = S.outside_circles(passed, around.circles, grid.cell_y, grid.cell_x)
+    if around.polygons is not None:
+        passed = S.outside_polygons(passed, around.polygons)
+    passed = stage(passed, "screened")
+    return passed, counts.unionByName(_counted(passed, len(cuts), stages.ZONES))
+
+
+def _counted(rows: DataFrame, pos: int, name: str) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(pos).alias("pos"), F.lit(name).alias("stage"), "n")
+
+
+def search(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = Surroundings()) -> tuple[DataFrame, DataFrame]:
+    """Sites (region, site_id, pixels, area_km2, capacity_exact, mean_aspect_deg, facing_direction,
+    center_lat, center_lon, bounds, candidates, <observable>_mean, _p50 and _p90 of REPORTED, selected,
+    viz_id, total_capacity) and the funnel (pos, stage, n, of_dem, of_prev) of `dem`."""
+    passed, counts = screened(dem, grid, p, around)
+    kept = S.thin(passed, p.stride, p.tile)
     kept = stage(kept.select("region", (F.col("r").cast("long") * grid.cols + F.col("c")).alias("cand_id"), "r", "c", "aspect"), "candidates")
-    use = bulk_scan.observables if p.bulk and not p.scan.frequency_mhz else scan.observables
+    use = bulk_scan.observables if p.bulk else scan.observables
     seen = stage(use(kept, dem, grid, p.scan), "observables")
-    accepted = seen.where("cells > 0")
+    directed = seen.where("cells > 0")
+    later = [(stages.STRIDE, kept), (stages.DIRECTIONS, directed)]
+    accepted = directed
     if p.min_score > 0 or p.top_percent is not None:
         scored = scores.score(seen, p.score, (p.scan.min_dist, p.scan.max_dist), p.scan.available_sky())
-        accepted = scores.cut_score(scored, p.min_score) if p.top_percent is None else scores.cut_percentile(scored, p.top_percent)
+        accepted = stage(scores.cut_score(scored, p.min_score) if p.top_percent is None else scores.cut_percentile(scored, p.top_percent), "accepted")
+        later.append((stages.SCORE, accepted))
     element = lambda km: (K.element_pixels(km, grid.cell_y), K.element_pixels(km, grid.cell_x))
     gap = p.spacing_km if p.gap_close_km is None else p.gap_close_km
     mask = accepted.select("region", "r", "c")
     closed = stage(K.close_gaps(mask, *element(gap), grid.rows, grid.cols), "closed")
     clean = stage(K.prune(closed, *element(p.min_width_km / 2), grid.rows, grid.cols), "pruned")
+    later += [(stages.CLOSED, closed), (stages.PRUNED, clean)]
     f = p.downsample
     px_km2 = grid.cell_y * f / 1000 * grid.cell_x * f / 1000
     labels = stage(G.label(downsample(clean, f), grid.cols), "labels")
     threshold = p.min_sub_array if p.distributed else p.target
     need = G.required_pixels(threshold, p.spacing_km, px_km2)
-    large = G.areas(labels, px_km2).where(F.col("pixels") >= need)
-    own = labels.join(large.select("region", "site_id"), ["region", "site_id"], "left_semi")
+    large = stage(G.areas(labels, px_km2).where(F.col("pixels") >= need), "large")
+    own = stage(labels.join(large.select("region", "site_id"), ["region", "site_id"], "left_semi"), "own")
     fits = G.capacity(own, clean, f, grid.cell_y, grid.cell_x, p.spacing_km * 1000, p.hexagonal).where(F.col("capacity_exact") >= threshold)
     small = S.gradients(downsample(dem, f), grid.cell_y * f, grid.cell_x * f).select("region", "r", "c", S.aspect_deg().alias("aspect"))
-    sites = large.join(fits, ["region", "site_id"]).join(G.orientation(own, small), ["region", "site_id"], "left")
+    sites, key = large.join(fits, ["region", "site_id"]), ["region", "site_id"]
+    sites = sites.join(G.orientation(own, small), key, "left").join(G.centres(own, fixtures.ORIGIN_LAT if p.origin is None else p.origin[0], fixtures.ORIGIN_LON if p.origin is None else p.origin[1],
+                                                                               fixtures.CELL_DEG * f), key, "left")
+    sites = sites.join(G.site_observables(own, accepted, f, REPORTED), key, "left")
     chosen = stage(G.select_sites(sites, p.target, p.distributed, p.stop_at_target), "sites")
-    later = [("kept by stride", kept), ("directions accepted", seen.where("cells > 0")), ("after score cut", accepted), ("after gap closing", closed), ("after pruning", clean)]
-    for k, (name, rows) in enumerate(later, start=len(cuts)):
-        counts = counts.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("pos"), F.lit(name).alias("stage"), "n"))
+    first = counts.agg(F.max("pos")).first()[0] + 1
+    for k, (name, rows) in enumerate(later, start=first):
+        counts = counts.unionByName(_counted(rows, k, name))
     total = chosen.where("selected").agg(F.coalesce(F.sum("pixels"), F.lit(0)).alias("n")).select(
-        F.lit(len(cuts) + len(later)).alias("pos"), F.lit("pixels in selected sites").alias("stage"), (F.col("n") * f * f).alias("n"))
+        F.lit(first + len(later)).alias("pos"), F.lit(stages.SELECTED).alias("stage"), (F.col("n") * f * f).alias("n"))
     return chosen, S.shares(stage(counts.unionByName(total), "funnel"))
 
 
-FIXTURE = SearchParams(min_slope=12, max_slope=60, tile=32, scan=scan.ScanParams(step=25.0), spacing_km=0.05, gap_close_km=0.3, min_width_km=0.12, downsample=2, target=100, min_sub_array=3)
+FIXTURE = SearchParams(min_slope=12, max_slope=60, max_road_km=9.5, tile=32, scan=scan.ScanParams(step=25.0), spacing_km=0.05, gap_close_km=0.3, min_width_km=0.12, downsample=2, target=100, min_sub_array=3)
+
+
+def surroundings(spark: SparkSession, sf: str) -> Surroundings:
+    return Surroundings(fixtures.road_distance(spark, sf), fixtures.circles(spark, sf), fixtures.polygons(spark, sf))
 
 
 @query("site_search")
 def site_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE)[0]
+    return search(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE, surroundings(spark, sf))[0]
 
 
 @query("search_funnel")
 def search_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return search(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE)[1]
+    return search(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE, surroundings(spark, sf))[1]
 
 
 @query("bulk_scan")
 def bulk(spark: SparkSession, sf: str) -> DataFrame:
-    return bulk_scan.observables(candidates(spark, sf), fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIELD, 32)
+    return bulk_scan.observables(candidates(spark, sf), fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIELD)

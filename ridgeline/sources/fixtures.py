@@ -59,9 +59,9 @@ def road_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten circular zones in pixel units: zone_id, zr, zc, radius_m."""
+    """Circular zones, one for each supplier, in pixel units: zone_id, zr, zc, radius_m."""
     w = width(spark, sf_dir)
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 10").select(
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_suppkey").cast("int").alias("zone_id"), (F.col("s_suppkey") * 37 % w).cast("int").alias("zr"),
         (F.col("s_suppkey") * 61 % w).cast("int").alias("zc"), (F.abs(F.floor(F.col("s_acctbal") / 100)) + 60).cast("double").alias("radius_m"))
 

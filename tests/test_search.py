@@ -43,7 +43,32 @@ def test_search_finds_both_flanks_of_a_valley(spark):
     facing = [r["facing_direction"] for r in sites.collect()]
     counts = [r["n"] for r in funnel.orderBy("pos").collect()]
     assert {f[-1] for f in facing} >= {"E", "W"}
-    assert counts[0] == n * n and counts[:4] == sorted(counts[:4], reverse=True) and counts[5] >= counts[4] and counts[6] <= counts[5]
+    assert counts[0] == n * n and counts[:5] == sorted(counts[:5], reverse=True) and counts[5] >= counts[4] and counts[6] <= counts[5]
     joined, _ = search.search(ridge(spark, n), grid, replace(p, bulk=False))
     key = lambda rows: sorted((r["site_id"], r["pixels"], r["capacity_exact"]) for r in rows)
     assert key(joined.collect()) == key(sites.collect())
+
+
+def test_stage_names_and_settings_are_those_of_a_search(spark):
+    from dataclasses import fields
+
+    from ridgeline import stages
+    from ridgeline.operators import explain
+
+    known = {f.name for f in fields(search.SearchParams)} | {"zones"}
+    assert {name for names in stages.SETTINGS.values() for name in names} <= known
+    n = 40
+    p = search.SearchParams(tile=32, stride=2, target=10, min_slope=2, max_slope=60, spacing_km=0.1, gap_close_km=0.1, min_width_km=0.07, downsample=2, min_sub_array=2, min_score=1e-6, max_road_km=1.0,
+                            scan=scan.ScanParams(elev_min=-10, elev_max=20, bins=4, azimuths=3, max_range=900, min_dist=100, max_dist=900, step=25.0))
+    around = search.Surroundings(
+        ridge(spark, n).select("region", "r", "c", (F.col("r") * 40.0).alias("dist_m")), spark.createDataFrame([(0, 5, 12, 150.0)], "zone_id int, zr int, zc int, radius_m double"))
+    sites, funnel = search.search(ridge(spark, n), Grid(30.7, 29.1, n, n), p, around)
+    rows = [(r["stage"], r["n"]) for r in funnel.orderBy("pos").collect()]
+    assert [s for s, _ in rows] == [stages.DEM, stages.FINITE, stages.SLOPE, stages.ROAD, stages.ZONES, stages.STRIDE, stages.DIRECTIONS, stages.SCORE, stages.CLOSED, stages.PRUNED, stages.SELECTED]
+    counts = dict(rows)
+    assert counts[stages.ZONES] < counts[stages.ROAD] < counts[stages.SLOPE]
+    summary = explain.run_summary(funnel.select(F.lit("x").alias("run"), "pos", "stage", "n")).first()
+    assert (summary["accepted"], summary["kept"], summary["pruned"]) == (counts[stages.SCORE], counts[stages.STRIDE], counts[stages.PRUNED])
+    bound = explain.binding_constraint(funnel.select(F.lit("x").alias("run"), "pos", "stage", "n")).first()
+    assert bound["knob"] == " / ".join(stages.SETTINGS[bound["stage"]])
+    assert {"center_lat", "bounds", "solid_angle_sr_p50", "candidates"} <= set(sites.columns)
