@@ -3,6 +3,8 @@ how the demands of experiments overlap, and what to try next."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ FRAGMENTED = 0.01
 
 def stage_knob(stage: Column) -> Column:
     """The settings of a stage as text, null for a stage that none governs."""
-    return F.coalesce(*[F.when(stage == name, F.lit(" / ".join(fields))) for name, fields in stages.SETTINGS.items()])
+    return F.coalesce(*[F.when(stage.startswith(name), F.lit(" / ".join(fields))) for name, fields in stages.SETTINGS.items()])
 
 
 def binding_constraint(funnels: DataFrame) -> DataFrame:
@@ -27,7 +29,8 @@ def binding_constraint(funnels: DataFrame) -> DataFrame:
     A stage that keeps nothing is fatal, wins, and ends the account: later ones are not looked at."""
     w = Window.partitionBy("run").orderBy("pos")
     steps = funnels.withColumn("before", F.lag("n").over(w))
-    steps = steps.where(~F.col("stage").isin(*stages.NOT_A_CUT) & (F.col("before") > 0)).withColumn("kept", F.col("n") / F.col("before")).withColumn("fatal", F.col("n") == 0)
+    skipped = reduce(lambda a, b: a | b, [F.col("stage").startswith(name) for name in stages.NOT_A_CUT])  # records may add a figure to the name
+    steps = steps.where(~skipped & (F.col("before") > 0)).withColumn("kept", F.col("n") / F.col("before")).withColumn("fatal", F.col("n") == 0)
     earlier = F.coalesce(F.max(F.col("fatal").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     steps = steps.withColumn("after_fatal", earlier).where("after_fatal = 0")
     order = F.struct((~F.col("fatal")).alias("f"), F.col("kept").alias("k"), F.col("pos").alias("p"))
@@ -47,7 +50,7 @@ def split_selected(sites: DataFrame, totals: DataFrame) -> DataFrame:
 def closing_inflation(funnels: DataFrame, strides: DataFrame) -> DataFrame:
     """Pixels after gap closing over what the stage before stands for."""
     w = Window.partitionBy("run").orderBy("pos")
-    steps = funnels.withColumn("before", F.lag("n").over(w)).where((F.col("stage") == stages.CLOSED) & F.col("before").isNotNull())
+    steps = funnels.withColumn("before", F.lag("n").over(w)).where(F.col("stage").startswith(stages.CLOSED) & F.col("before").isNotNull())
     return steps.join(strides, "run").select("run", F.expr("try_divide(n, before * greatest(1, coalesce(stride, 1)))").alias("inflation"))
 
 
@@ -176,7 +179,7 @@ def box_overlaps(boxes: DataFrame) -> DataFrame:
 
 def run_summary(funnels: DataFrame) -> DataFrame:
     """accepted: after the score cut, else the directions accepted; acceptance: of what the stride kept."""
-    at = lambda name: F.max(F.when(F.col("stage") == name, F.col("n")))
+    at = lambda name: F.max(F.when(F.col("stage").startswith(name), F.col("n")))
     s = funnels.groupBy("run").agg(at(stages.DEM).alias("dem_pixels"), at(stages.STRIDE).alias("kept"), F.coalesce(at(stages.SCORE), at(stages.DIRECTIONS)).alias("accepted"),
                                    at(stages.PRUNED).alias("pruned"))
     return s.withColumn("acceptance", F.expr("try_divide(accepted, kept)"))
