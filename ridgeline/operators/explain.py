@@ -138,9 +138,29 @@ def combination(shares: DataFrame, overlaps: DataFrame) -> DataFrame:
     return shares.join(tight, "run", "left").select("run", "pixels", "joint_share", F.col("x.band").alias("tightest_band"), F.col("x.other").alias("with_run"), F.col("x.share_of_narrower").alias("band_share"))
 
 
-def report(head: DataFrame, funnels: DataFrame, binding: DataFrame, steps: DataFrame) -> DataFrame:
-    """(run, section, pos, line): a plain-text account by run."""
-    line = lambda df, section, pos, text: df.select("run", F.lit(section).alias("section"), pos.cast("int").alias("pos"), text.alias("line"))
+def assumptions(runs: DataFrame) -> DataFrame:
+    """`runs` as of next_steps to (run, pos, assumption): what the figures of a run rest on, from its own settings."""
+    rules = [
+        (F.col("min_score").isNull() & F.col("score_percentile").isNull(), F.lit("no score cut: any accepted direction makes a candidate count")),
+        (F.col("score_percentile").isNotNull(), F.lit("a percentile cut keeps its share of candidates however good they are")),
+        (F.col("gap_close_km").isNull(), F.lit("gaps are closed over the detector spacing, which was not measured")),
+        (F.coalesce("stride", F.lit(1)) > 1, F.format_string("one pixel in %d stands for its neighbours", "stride")),
+        (F.lit(True), F.lit("capacity is a lattice over the ground: slope and access between its points are not looked at")),
+    ]
+    found = F.filter(F.array(*[F.when(t, F.struct(F.lit(k).alias("pos"), s.alias("assumption"))) for k, (t, s) in enumerate(rules)]), lambda x: x.isNotNull())
+    return runs.select("run", F.inline(found))
+
+
+#: Sections of a report in the order of its lines.
+SECTIONS = ["run", "headline", "funnel", "binding", "regions", "sites", "strengths", "aperture", "reading", "assumptions", "next"]
+
+
+def report(head: DataFrame, funnels: DataFrame, binding: DataFrame, steps: DataFrame, runs: DataFrame | None = None, stats: DataFrame | None = None,
+           sites: DataFrame | None = None, peaks: DataFrame | None = None) -> DataFrame:
+    """(run, section_no, section, pos, line): a plain-text account by run. `runs` as of next_steps, `stats` as of
+    pass_rates, `sites` with is_selected and arrival_scan, `peaks(run, energy_pev)`; what is not given has no section."""
+    line = lambda df, section, pos, text: df.select("run", F.lit(SECTIONS.index(section)).alias("section_no"), F.lit(section).alias("section"), pos.cast("long").alias("pos"), text.alias("line"))
+    none, percent = F.lit("none"), lambda x: F.format_string("%.1f%%", 100 * x)
     short = F.when(F.col("shortfall") > 0, F.format_string(", %d short of the target", "shortfall")).otherwise(", target met")
     parts = [
         line(head, "headline", F.lit(0), F.concat(F.format_string("%d sites of %.2f km2 hold %d detectors", "sites", "area_km2", "capacity"), short)),
@@ -148,10 +168,26 @@ def report(head: DataFrame, funnels: DataFrame, binding: DataFrame, steps: DataF
         line(binding, "binding", F.lit(0), F.format_string("%s kept %.3f%% (%s)", F.col("stage"), 100 * F.col("kept"), F.coalesce("knob", F.lit("no setting")))),
         line(steps, "next", F.col("pos"), F.col("step")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if runs is not None:
+        text = lambda c: F.coalesce(F.col(c).cast("string"), none)
+        parts.append(line(runs, "run", F.lit(0), F.concat(F.lit("stride "), text("stride"), F.lit(", gap closing km "), text("gap_close_km"), F.lit(", score at least "), text("min_score"),
+                                                          F.lit(", best percent "), text("score_percentile"))))
+        parts.append(line(assumptions(runs), "assumptions", F.col("pos"), F.col("assumption")))
+        grown = closing_inflation(funnels, runs.select("run", "stride")).where("inflation is not null")
+        parts.append(line(grown, "reading", F.lit(0), F.format_string("gap closing made %.2f times the ground that was found: areas and capacities count it", "inflation")))
+    if stats is not None:
+        rates = stats.join(pass_rates(stats), "run")
+        broken = F.when(F.col("fragmented"), ": the ground is in fragments").otherwise("")
+        parts.append(line(rates, "regions", F.lit(0), F.concat(F.format_string("%d of %d regions are large enough (", "passed", "labelled"), F.coalesce(percent(F.col("pass_rate")), none), F.lit(")"), broken)))
+    if sites is not None:
+        chosen = sites.where("is_selected")
+        parts.append(line(chosen, "sites", F.col("site_id"), F.format_string("site %d: %.2f km2, %d detectors", "site_id", "area_km2", "capacity_exact")))
+        best = strengths(chosen).groupBy("run", "site_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "component"))).alias("x"))  # components are few
+        parts.append(line(best, "strengths", F.col("site_id"), F.concat(F.format_string("site %d is strong at ", "site_id"), F.array_join(F.transform("x", lambda x: x["component"]), ", "))))
+        parts.append(line(common_weakness(chosen), "strengths", F.lit(-1), F.concat(percent(F.col("share")), F.lit(" of sites are weakest at "), F.col("component"))))
+    if peaks is not None:
+        parts.append(line(peaks, "aperture", F.lit(0), F.format_string("the aperture is largest near %.3g PeV", "energy_pev")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare_regions(runs: DataFrame, baseline: str) -> DataFrame:
@@ -205,8 +241,7 @@ def sweep(candidates: DataFrame, settings: DataFrame, tests: dict[str, tuple[Col
     return counts.withColumn("acceptance", F.expr("try_divide(accepted, kept)"))
 
 
-def relative(swept: DataFrame) -> DataFrame:
-    """Adds the accepted ratio to the baseline setting (param 'baseline')."""
-    base = swept.where("param = 'baseline'").select(F.col("accepted").alias("base")).limit(1)
-    return swept.join(F.broadcast(base)).withColumn("ratio", F.expr("try_divide(accepted, base)")).drop("base")
-
+def relative(swept: DataFrame, count: str = "accepted", name: str = "ratio") -> DataFrame:
+    """Adds the ratio of a count to the baseline setting's (param 'baseline')."""
+    base = swept.where("param = 'baseline'").select(F.col(count).alias("base")).limit(1)
+    return swept.join(F.broadcast(base)).withColumn(name, F.expr(f"try_divide({count}, base)")).drop("base")

@@ -145,12 +145,6 @@ def headline(spark, sf):
     return heads(spark, sf).withColumn("area_km2", F.round("area_km2", 2)).withColumn("reserve_km2", F.round("reserve_km2", 2))
 
 
-@query("pass_rates", "select s_suppkey as run, (s_suppkey % 7) / nullif(s_suppkey * 11, 0) as pass_rate, coalesce((s_suppkey % 7) / nullif(s_suppkey * 11, 0) < 0.01, false) as fragmented from supplier")
-def pass_rates(spark, sf):
-    k = F.col("s_suppkey")
-    return X.pass_rates(spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("run"), (k * 11).alias("labelled"), (k % 7).alias("passed")))
-
-
 RUN_FACTS = """facts as (select o_orderkey as run, case when o_orderkey % 3 > 0 then 0.35 end as min_score, case when o_orderkey % 4 = 0 then 10.0 end as score_percentile,
     case when o_orderkey % 5 > 0 then (o_orderkey % 2) * 0.5 end as gap_close_km, 1 + o_orderkey % 3 as stride, o_orderkey % 6 as sites from orders)"""
 
@@ -162,6 +156,21 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
         (1 + k % 3).alias("stride"), (k % 6).alias("sites"))
 
 
+@query("pass_rates", "select s_suppkey as run, (s_suppkey % 7) / nullif(s_suppkey * 11, 0) as pass_rate, coalesce((s_suppkey % 7) / nullif(s_suppkey * 11, 0) < 0.01, false) as fragmented from supplier")
+def pass_rates(spark, sf):
+    k = F.col("s_suppkey")
+    return X.pass_rates(spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("run"), (k * 11).alias("labelled"), (k % 7).alias("passed")))
+
+
+@query("assumptions", f"""with {RUN_FACTS} select run, 0 as pos, 'no score cut: any accepted direction makes a candidate count' as assumption from facts where min_score is null and score_percentile is null
+    union all select run, 1, 'a percentile cut keeps its share of candidates however good they are' from facts where score_percentile is not null
+    union all select run, 2, 'gaps are closed over the detector spacing, which was not measured' from facts where gap_close_km is null
+    union all select run, 3, 'one pixel in ' || stride || ' stands for its neighbours' from facts where stride > 1
+    union all select run, 4, 'capacity is a lattice over the ground: slope and access between its points are not looked at' from facts""")
+def assumptions(spark, sf):
+    return X.assumptions(facts(spark, sf))
+
+
 @query("next_steps", f"""with {BINDING}, {RUN_FACTS}, b as (select facts.*, knob from facts left join binding using (run))
     select run, 0 as pos, 'sweep ' || regexp_extract(knob, '^[^ /,]+') as step from b where knob is not null
     union all select run, 1, 'rank by percentile instead of an absolute score' from b where min_score <> 0 and score_percentile is null
@@ -186,8 +195,11 @@ def combination_summary(spark, sf):
 
 @query("report_lines")
 def report_lines(spark, sf):
-    binding = X.binding_constraint(funnels(spark, sf))
-    return X.report(heads(spark, sf), funnels(spark, sf), binding, X.next_steps(facts(spark, sf), binding))
+    """All sections for the runs of the order table; regions and favoured energies come from suppliers and customers."""
+    binding, k, c = X.binding_constraint(funnels(spark, sf)), F.col("s_suppkey"), F.col("c_custkey")
+    stats = spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("run"), (k * 11).alias("labelled"), (k % 7).alias("passed"))
+    peaks = spark.read.parquet(f"{sf}/customer.parquet").select(c.alias("run"), (F.lit(1.0) + c % 500).alias("energy_pev"))
+    return X.report(heads(spark, sf), funnels(spark, sf), binding, X.next_steps(facts(spark, sf), binding), facts(spark, sf), stats, split(spark, sf), peaks)
 
 
 @query("run_summary", f"""with {FUNNEL_SQL} select run, max(n) filter (pos = 0) as dem_pixels, max(n) filter (pos = 4) as kept, max(n) filter (pos = 6) as accepted, max(n) filter (pos = 8) as pruned,

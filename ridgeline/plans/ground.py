@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators import combine as C
 from ridgeline.operators import screening as S
 from ridgeline.plans.base import CX, CY, DEM, GRAD, cand, query
 from ridgeline.sources import fixtures, tables
@@ -61,6 +62,28 @@ def crop_window(spark, sf):
     return tables.crop(fixtures.dem(spark, sf), (5, 25), (7, 30))
 
 
+#: A box over half a pixel's edges; on small tables the map ends before it does.
+BOX = (LAT - 24.3 / 3600, LAT - 5.4 / 3600, LON + 7.6 / 3600, LON + 60.2 / 3600)
+
+
+@query("crop_box", f"""with {DEM}, b as (select cast(greatest(floor(({LAT} - {BOX[1]}) * 3600), 0) as bigint) as r0, least(cast(ceil(({LAT} - {BOX[0]}) * 3600) as bigint), w) as r1,
+      cast(greatest(floor(({BOX[2]} - {LON}) * 3600), 0) as bigint) as c0, least(cast(ceil(({BOX[3]} - {LON}) * 3600) as bigint), w) as c1 from w)
+    select 'a' as region, r1 - r0 as rows, c1 - c0 as cols, round({LAT} - r0 / 3600, 9) as origin_lat, round({LON} + c0 / 3600, 9) as origin_lon, round({LAT} - r1 / 3600, 9) as south,
+      round({LON} + c1 / 3600, 9) as east, min(z) as z_min, max(z) as z_max from dem, b where r >= r0 and r < r1 and c >= c0 and c < c1 group by r0, r1, c0, c1""")
+def crop_box(spark, sf):
+    w = fixtures.width(spark, sf)
+    found = tables.crop_box(fixtures.dem(spark, sf), LAT, LON, DEG, w, w, BOX)[1]
+    return found.select("region", "rows", "cols", *[F.round(c, 9).alias(c) for c in ("origin_lat", "origin_lon", "south", "east")], "z_min", "z_max")
+
+
+@query("map_extent", f"""with {DEM}, g as (select max(r) + 1 as rows, max(c) + 1 as cols from dem)
+    select 'a' as region, round({LON} - 0.5 / 3600, 9) as left_, round({LON} + (cols - 0.5) / 3600, 9) as right_, round({LAT} - (rows - 0.5) / 3600, 9) as bottom_, round({LAT} + 0.5 / 3600, 9) as top_ from g""")
+def map_extent(spark, sf):
+    size = fixtures.dem(spark, sf).groupBy("region").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    edges = C.extent(DEG, -DEG, LON, LAT, F.col("rows"), F.col("cols"))
+    return size.select("region", *[F.round(F.lit(e) if isinstance(e, float) else e, 9).alias(n) for n, e in zip(("left_", "right_", "bottom_", "top_"), edges, strict=True)])
+
+
 @query("downsample", f"with {DEM} select 'a' as region, cast(r // 4 as int) as r, cast(c // 4 as int) as c, z from dem where r % 4 = 0 and c % 4 = 0")
 def downsample(spark, sf):
     return tables.downsample(fixtures.dem(spark, sf), 4)
@@ -94,6 +117,14 @@ def places_ranked(spark, sf):
     return tables.places(osm_lines(spark, sf)).orderBy("rank", F.desc_nulls_last("population"), "id")
 
 
+@query("places_in_box", """with p as (select event_id as id, 'n' || event_id as name, ['city', 'town', 'village', 'hamlet'][event_id % 4 + 1] as place,
+      case when event_id % 5 > 0 then (event_id % 90 + 1) * 1000 + event_id % 1000 end as population, round(-72.0 + value / 500, 5) as lon, round(-15.0 - value / 1000, 5) as lat,
+      cast(event_id % 4 as int) as rank from events where event_id % 6 > 0 and event_id % 3 > 0)
+    select * from p where lat between -15.06 and -15.01 and lon between -71.97 and -71.88""")
+def places_in_box(spark, sf):
+    return tables.places_inside(tables.places(osm_lines(spark, sf)), -15.06, -15.01, -71.97, -71.88)
+
+
 @query("bbox_tiles", """with b as (select min(s_acctbal) / 1000 as s, max(s_acctbal) / 1000 as n from supplier),
     i as (select s, n, unnest(range(cast(ceil((n - s - 1e-9) / 1.2) as bigint))) as i from b), j as (select unnest(range(cast(ceil((8.5 - 1e-9) / 1.2) as bigint))) as j)
     select round(s + i * 1.2, 9) as lat_lo, round(least(n, s + (i + 1) * 1.2), 9) as lat_hi, round(-75.0 + j * 1.2, 9) as lon_lo, round(least(-66.5, -75.0 + (j + 1) * 1.2), 9) as lon_hi from i, j""")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import stages
 from ridgeline.operators import bulk_scan, scan, scores
+from ridgeline.operators import explain as X
 from ridgeline.operators import masks as K
 from ridgeline.operators import screening as S
 from ridgeline.operators import sites as G
@@ -92,15 +94,24 @@ def _counted(rows: DataFrame, pos: int, name: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(pos).alias("pos"), F.lit(name).alias("stage"), "n")
 
 
-def search(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = Surroundings()) -> tuple[DataFrame, DataFrame]:
-    """Sites (region, site_id, pixels, area_km2, capacity_exact, mean_aspect_deg, facing_direction,
-    center_lat, center_lon, bounds, candidates, <observable>_mean, _p50 and _p90 of REPORTED, selected,
-    viz_id, total_capacity) and the funnel (pos, stage, n, of_dem, of_prev) of `dem`."""
+def scanned(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = Surroundings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates kept by the stride, their observables, and the counts of the screen: what no setting of LATE changes."""
     passed, counts = screened(dem, grid, p, around)
     kept = S.thin(passed, p.stride, p.tile)
     kept = stage(kept.select("region", (F.col("r").cast("long") * grid.cols + F.col("c")).alias("cand_id"), "r", "c", "aspect"), "candidates")
     use = bulk_scan.observables if p.bulk else scan.observables
-    seen = stage(use(kept, dem, grid, p.scan), "observables")
+    return kept, stage(use(kept, dem, grid, p.scan), "observables"), stage(counts, "counts")
+
+
+def search(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = Surroundings()) -> tuple[DataFrame, DataFrame]:
+    """Screen, scan and what `packed` makes of them."""
+    return packed(dem, grid, p, *scanned(dem, grid, p, around))
+
+
+def packed(dem: DataFrame, grid: Grid, p: SearchParams, kept: DataFrame, seen: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sites (region, site_id, pixels, area_km2, capacity_exact, mean_aspect_deg, facing_direction,
+    center_lat, center_lon, bounds, candidates, <observable>_mean, _p50 and _p90 of REPORTED, selected,
+    viz_id, total_capacity) and the funnel (pos, stage, n, of_dem, of_prev) of `dem`."""
     directed = seen.where("cells > 0")
     later = [(stages.STRIDE, kept), (stages.DIRECTIONS, directed)]
     accepted = directed
@@ -136,6 +147,37 @@ def search(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = S
     return chosen, S.shares(stage(counts.unionByName(total), "funnel"))
 
 
+#: Settings that only stages after the scan read.
+LATE = ("score", "min_score", "top_percent", "spacing_km", "gap_close_km", "min_width_km", "downsample", "hexagonal", "distributed", "target", "min_sub_array",
+        "stop_at_target", "origin")
+
+
+def changed(base: SearchParams, param: str, value: object) -> SearchParams:
+    """`base` with a setting of the search or of its scan."""
+    if param in {f.name for f in fields(SearchParams)}:
+        return replace(base, **{param: value})
+    return replace(base, scan=replace(base.scan, **{param: value}))
+
+
+def sweep(dem: DataFrame, grid: Grid, base: SearchParams, changes: list[tuple[str, object]], around: Surroundings = Surroundings()) -> DataFrame:
+    """A search for the baseline (setting 0) and for each change of one setting: setting_id, param, value
+    (text), sites, capacity and area of the selection, kept, accepted, acceptance, and capacity_ratio to
+    the baseline (null if that is 0). Settings that share a screen and scan share its tables."""
+    settings = [("baseline", None, base)] + [(name, value, changed(base, name, value)) for name, value in changes]
+    ground, rows = {}, []
+    for k, (name, value, p) in enumerate(settings):
+        early = repr(replace(p, **{f: getattr(base, f) for f in LATE}))
+        if early not in ground:
+            ground[early] = scanned(dem, grid, p, around)
+        sites, funnel = packed(dem, grid, p, *ground[early])
+        found = sites.where("selected").agg(F.count(F.lit(1)).alias("sites"), F.coalesce(F.sum("capacity_exact"), F.lit(0)).alias("capacity"),
+                                            F.coalesce(F.round(F.sum("area_km2"), 6), F.lit(0.0)).alias("area_km2"))
+        of = [F.lit(k).alias("setting_id"), F.lit(name).alias("param"), F.lit(None if value is None else str(value)).cast("string").alias("value")]
+        account = X.run_summary(funnel.withColumn("run", F.lit(k))).select("kept", "accepted", "acceptance")
+        rows.append(found.join(F.broadcast(account)).select(*of, "*"))  # one row each
+    return X.relative(stage(reduce(DataFrame.unionByName, rows), "sweep"), "capacity", "capacity_ratio")
+
+
 FIXTURE = SearchParams(min_slope=12, max_slope=60, max_road_km=9.5, tile=32, scan=scan.ScanParams(step=25.0), spacing_km=0.05, gap_close_km=0.3, min_width_km=0.12, downsample=2, target=100, min_sub_array=3)
 
 
@@ -153,6 +195,12 @@ def search_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return search(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE, surroundings(spark, sf))[1]
 
 
+@query("search_sweep")
+def search_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    changes = [("min_width_km", 0.3), ("gap_close_km", 0.0), ("min_sub_array", 30), ("max_slope", 40)]
+    return sweep(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE, changes, surroundings(spark, sf))
+
+
 @query("bulk_scan")
 def bulk(spark: SparkSession, sf: str) -> DataFrame:
     return bulk_scan.observables(candidates(spark, sf), fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIELD)

@@ -3,6 +3,7 @@ zones, curves, run records, digests, outlines."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -71,6 +72,27 @@ def crop(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> Dat
     return inside.withColumn("r", F.col("r") - rows[0]).withColumn("c", F.col("c") - cols[0])
 
 
+def box_window(lat: float, lon: float, cell_deg: float, rows: int, cols: int, box: tuple[float, float, float, float]) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Rows and columns [start, stop) of the whole pixels that hold `box` (south, north, west, east), as far
+    as the map from its upper left corner (lat, lon) goes; an error if box and map share nothing."""
+    south, north, west, east = box
+    part = lambda lo, hi, size: (max(math.floor(lo / cell_deg), 0), min(math.ceil(hi / cell_deg), size))
+    window = part(lat - north, lat - south, rows), part(west - lon, east - lon, cols)
+    if any(stop <= start for start, stop in window):
+        raise ValueError(f"the map holds latitudes {lat - rows * cell_deg} to {lat} and longitudes {lon} to {lon + cols * cell_deg}, nothing of the box {box}")
+    return window
+
+
+def crop_box(pixels: DataFrame, lat: float, lon: float, cell_deg: float, rows: int, cols: int, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """The pixels of a box, numbered from 0, and a row for each region: size, own origin, far edges and
+    range of elevations."""
+    (r0, r1), (c0, c1) = box_window(lat, lon, cell_deg, rows, cols, box)
+    cut = crop(pixels, (r0, r1), (c0, c1))
+    edges = [F.lit(v).alias(n) for n, v in (("origin_lat", lat - r0 * cell_deg), ("origin_lon", lon + c0 * cell_deg), ("south", lat - r1 * cell_deg), ("east", lon + c1 * cell_deg))]
+    size = [F.lit(r1 - r0).cast("long").alias("rows"), F.lit(c1 - c0).cast("long").alias("cols")]
+    return cut, cut.groupBy("region").agg(F.min("z").alias("z_min"), F.max("z").alias("z_max")).select("region", *size, *edges, "z_min", "z_max")
+
+
 def downsample(pixels: DataFrame, factor: int) -> DataFrame:
     """Every factor-th row and column, not an average."""
     some = pixels.where((F.col("r") % factor == 0) & (F.col("c") % factor == 0))
@@ -134,6 +156,12 @@ def settlement_preset(places: DataFrame, boxes: DataFrame) -> DataFrame:
     return counts.groupBy("box").agg(F.max("n").alias("n"), F.min_by("preset", F.struct(-F.col("n"), "preset")).alias("preset"))
 
 
+def places_inside(places: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Places of a box, edges included, by rank and population, unknown populations last."""
+    inside = places.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    return inside.orderBy("rank", F.desc_nulls_last("population"), "id")
+
+
 def load_curve(spark: SparkSession, path: str, scale: float = 1e-6) -> DataFrame:
     """energy, value; `#` starts a comment. Published energies in GeV become PeV."""
     raw = spark.read.option("comment", "#").schema("energy double, value double").csv(path)

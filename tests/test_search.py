@@ -72,3 +72,21 @@ def test_stage_names_and_settings_are_those_of_a_search(spark):
     bound = explain.binding_constraint(funnel.select(F.lit("x").alias("run"), "pos", "stage", "n")).first()
     assert bound["knob"] == " / ".join(stages.SETTINGS[bound["stage"]])
     assert {"center_lat", "bounds", "solid_angle_sr_p50", "candidates"} <= set(sites.columns)
+
+
+def test_sweep_is_a_search_for_each_setting(spark):
+    n = 90
+    grid, dem = Grid(30.7, 29.1, n, n), ridge(spark, 90)
+    base = search.SearchParams(min_slope=5, max_slope=60, stride=2, tile=32, scan=scan.ScanParams(step=25.0), spacing_km=0.05, gap_close_km=0.2, min_width_km=0.1, downsample=2, target=100, min_sub_array=3)
+    changes = [("min_sub_array", 40), ("min_width_km", 0.4), ("max_dist", 400.0)]
+    rows = sorted(search.sweep(dem, grid, base, changes).collect(), key=lambda r: r["setting_id"])
+    assert [(r["param"], r["value"]) for r in rows] == [("baseline", None)] + [(k, str(v)) for k, v in changes]
+    for row, p in zip(rows, [base] + [search.changed(base, k, v) for k, v in changes], strict=True):
+        sites, funnel = search.search(dem, grid, p)
+        chosen = sites.where("selected").collect()
+        stages = {r["stage"]: r["n"] for r in funnel.collect()}
+        assert (row["sites"], row["capacity"]) == (len(chosen), sum(r["capacity_exact"] for r in chosen))
+        assert math.isclose(row["area_km2"], sum(r["area_km2"] for r in chosen), abs_tol=1e-5)
+        assert (row["kept"], row["accepted"]) == (stages["kept by stride"], stages["directions accepted"])
+    assert rows[0]["capacity_ratio"] == 1.0
+    assert rows[3]["accepted"] != rows[0]["accepted"]

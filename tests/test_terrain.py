@@ -154,3 +154,36 @@ def test_labels_across_blocks_against_flood_fill(spark, monkeypatch):
     got = sites.label(spark.createDataFrame([("a", r, c) for r, c in true], "region string, r int, c int"), 19).collect()
     assert {(x["r"], x["c"]): (x["first"], x["site_id"]) for x in got} == {p: (f, rank[f]) for p, f in first.items()}
     assert sites.label(spark.createDataFrame([], "region string, r int, c int"), 19).count() == 0
+
+
+def test_crop_by_box_snaps_outward_and_stays_on_the_map(spark):
+    dem = plane(spark, 12, 10, 60)
+    cut, about = tables.crop_box(dem, -15.0, -72.0, 0.1, 12, 12, (-15.75, -15.25, -71.95, -60.0))
+    assert about.select("rows", "cols").first() == (6, 12)
+    assert about.select("origin_lat", "origin_lon", "south", "east").first() == pytest.approx((-15.2, -72.0, -15.8, -70.8))
+    want = {(r["r"] - 2, r["c"]): r["z"] for r in dem.collect() if 2 <= r["r"] < 8}
+    assert {(r["r"], r["c"]): r["z"] for r in cut.collect()} == want
+    assert about.select("z_min", "z_max").first() == (min(want.values()), max(want.values()))
+    with pytest.raises(ValueError, match="nothing of the box"):
+        tables.crop_box(dem, -15.0, -72.0, 0.1, 12, 12, (-20.0, -19.0, -71.9, -71.0))
+
+
+def test_report_has_a_section_for_what_it_is_given(spark):
+    funnels = spark.createDataFrame([(1, 0, "DEM pixels", 1000), (1, 1, "slope", 100), (1, 2, "kept by stride", 50), (1, 3, "directions accepted", 40), (1, 4, "after gap closing", 200)],
+                                    "run int, pos int, stage string, n long")
+    runs = spark.createDataFrame([(1, None, None, 0.5, 2, 1)], "run int, min_score double, score_percentile double, gap_close_km double, stride int, sites int")
+    found = spark.createDataFrame([(1, 7, 2.5, 60, True, {"score_depth_p50": 0.9, "score_distance_p50": 0.2}), (1, 8, 1.0, 10, False, {"score_depth_p50": 0.1})],
+                                  "run int, site_id int, area_km2 double, capacity_exact long, is_selected boolean, arrival_scan map<string, double>")
+    head = explain.headline(found, spark.createDataFrame([(1, 100)], "run int, target int"))
+    stats = spark.createDataFrame([(1, 400, 2)], "run int, labelled int, passed int")
+    peaks = spark.createDataFrame([(1, 31.6)], "run int, energy_pev double")
+    binding = explain.binding_constraint(funnels)
+    steps = explain.next_steps(runs, binding)
+    rows = explain.report(head, funnels, binding, steps, runs, stats, found, peaks).orderBy("section_no", "pos").collect()
+    assert list(dict.fromkeys(r["section"] for r in rows)) == explain.SECTIONS
+    lines = {r["section"]: r["line"] for r in rows}
+    assert lines["headline"] == "1 sites of 2.50 km2 hold 60 detectors, 40 short of the target"
+    assert lines["regions"] == "2 of 400 regions are large enough (0.5%): the ground is in fragments"
+    assert lines["sites"].startswith("site 7") and lines["strengths"] == "site 7 is strong at depth"
+    assert "2.50 times" in lines["reading"]
+    assert {r["section"] for r in explain.report(head, funnels, binding, steps).collect()} == {"headline", "funnel", "binding", "next"}
