@@ -2,14 +2,16 @@
 
 Each view is a logistic regression over hashed features (AdaGrad): the text view over words
 and surface marks (repetition, capitals, symbols), the metadata view over source, language,
-length and their pairs. On a bounded labelled sample and a bounded unlabelled pool the views
-take turns: each adds the pool rows that it is surest of, in the classes' proportion, to the
-other's training rows. A part of the labelled rows that neither view learns from calibrates
+length and their pairs. They learn from a bounded labelled sample. In each round both score the
+whole unlabelled table in Spark, and each gives the rows that it is surest of, up to a quota in
+the classes' proportion, to the other's training rows. A part of the labelled rows that neither view learns from calibrates
 both (Platt) and the weights that combine them; the combined model then scores all documents.
 
 Defined results: null or empty text has no text features and is scored by intercept and
 metadata; a null column is a value of its own. Without labels of both classes every score is
-the class rate, 0.5 without any. Equal rows are scored alike. An empty table gives an empty
+the class rate, 0.5 without any. Equal rows are scored alike
+and give one pseudo-label, so a large group of copies does not fill the quota. Rows with texts of
+more than `train_chars` characters are scored but teach nothing. An empty table gives an empty
 table. Extra columns are not read.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,10 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hash_sample
+from ridgeline.llm.common import hash_sample, written
 from ridgeline.llm.decontaminate import words
 
 BITS = 16
+#: Log odds beyond which a view is sure of a row.
+SURE = 2.0
 Row = tuple[str | None, str | None, str | None, int | None]  # text, source, lang, n_chars
 
 
@@ -112,7 +116,68 @@ class Model:
         return _sigmoid(float(np.dot(self.mix[:2], z) + self.mix[2])), _sigmoid(z[0]), _sigmoid(z[1])
 
 
-def co_train(marked: list[tuple[Row, int]], pool: list[Row], rounds: int = 4, share: float = 0.1, seed: int = 6) -> Model:
+#: Of both models and the numbers of low and high rows wanted: for each view its surest rows with their pseudo-labels.
+Surest = Callable[[list[Logistic], int, int], list[list[tuple[Row, int]]]]
+
+
+def surest_of(pool: list[Row]) -> Surest:
+    """Chooses from a list; a row is given once."""
+    left = dict(enumerate(pool))
+
+    def choose(views: list[Logistic], low: int, high: int) -> list[list[tuple[Row, int]]]:
+        found, gone = [], set()
+        for k, view in enumerate(VIEWS):
+            z = sorted((views[k].logit(view(row)), i) for i, row in left.items())
+            ends = [(i, 0) for x, i in z[:low] if x < -SURE] + [(i, 1) for x, i in z[max(len(z) - high, 0) :] if x > SURE]
+            found.append([(left[i], y) for i, y in ends])
+            gone |= {i for i, _ in ends}
+        for i in gone:
+            del left[i]
+        return found
+
+    return choose
+
+
+def _key(cols: list[str]) -> Column:
+    return F.xxhash64(*cols)
+
+
+def _among(keys: list[int]) -> Column:
+    return F.expr(f"key in ({', '.join(map(str, keys))})") if keys else F.lit(False)
+
+
+def surest_in(docs: DataFrame, cols: list[str], given: list[int]) -> Surest:
+    """Chooses from all rows of a table but those with a `given` content hash; equal rows count once and are
+    given once. One scan scores, a narrow table of scores is ordered, one more scan fetches the chosen
+    rows, at most twice the quota."""
+    given = list(given)
+    keyed = docs.select(_key(cols).alias("key"), *cols)
+
+    def choose(views: list[Logistic], low: int, high: int) -> list[list[tuple[Row, int]]]:
+        scored = keyed.where(~_among(given)).select("key", _logits(views, *map(F.col, cols)).alias("z"))
+        one = written(scored.groupBy("key").agg(F.min("z.z0").alias("z0"), F.min("z.z1").alias("z1")), "quality-pool")
+        ends = []
+        for z in ("z0", "z1"):
+            bottom = one.where(F.col(z) < -SURE).orderBy(z, "key").limit(low).collect()
+            ends.append([(r["key"], 0) for r in bottom] + [(r["key"], 1) for r in one.where(F.col(z) > SURE).orderBy(F.desc(z), "key").limit(high).collect()])
+        keys = sorted({k for found in ends for k, _ in found})
+        given.extend(keys)
+        rows = {r["key"]: tuple(r["row"]) for r in keyed.where(_among(keys)).groupBy("key").agg(F.min(F.struct(*cols)).alias("row")).collect()} if keys else {}
+        return [[(rows[k], y) for k, y in found] for found in ends]
+
+    return choose
+
+
+def _logits(views: list[Logistic], *cols: Column) -> Column:
+    @F.pandas_udf("z0 double, z1 double")
+    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            yield pd.DataFrame([[m.logit(view(row)) for m, view in zip(views, VIEWS, strict=True)] for row in zip(*some, strict=True)], columns=["z0", "z1"])
+
+    return of(*cols)
+
+
+def co_train(marked: list[tuple[Row, int]], surest: Surest, rounds: int = 2, quota: int = 300, seed: int = 6) -> Model:
     ys = [y for _, y in marked]
     if len(set(ys)) < 2:
         return Model([], [], np.zeros(3), float(np.mean(ys)) if ys else 0.5)
@@ -122,20 +187,12 @@ def co_train(marked: list[tuple[Row, int]], pool: list[Row], rounds: int = 4, sh
         held = seen = order
     feats = [[view(marked[i][0]) for i in seen] for view in VIEWS]
     labels = [[ys[i] for i in seen] for _ in VIEWS]
-    pools = [[view(r) for r in pool] for view in VIEWS]
-    left = list(range(len(pool)))
-    positive = float(np.mean(labels[0]))
+    high = round(quota * float(np.mean(labels[0])))
     for _ in range(rounds):
         views = [Logistic().fit(f, y) for f, y in zip(feats, labels, strict=True)]
-        for a, b in ((0, 1), (1, 0)):
-            z = sorted(left, key=lambda i: views[a].logit(pools[a][i]))
-            n = int(share * len(z))
-            low, high = z[: round(n * (1 - positive))], z[len(z) - round(n * positive) :]
-            sure = [(i, 0) for i in low if views[a].logit(pools[a][i]) < -2] + [(i, 1) for i in high if views[a].logit(pools[a][i]) > 2]
-            feats[b] += [pools[b][i] for i, _ in sure]
-            labels[b] += [y for _, y in sure]
-            gone = {i for i, _ in sure}
-            left = [i for i in left if i not in gone]
+        for a, rows in enumerate(surest(views, quota - high, high)):
+            feats[1 - a] += [VIEWS[1 - a](row) for row, _ in rows]
+            labels[1 - a] += [y for _, y in rows]
     views = [Logistic().fit(f, y) for f, y in zip(feats, labels, strict=True)]
     y = np.array([ys[i] for i in held], dtype=float)
     z = np.array([[v.logit(view(marked[i][0])) for v, view in zip(views, VIEWS, strict=True)] for i in held])
@@ -144,21 +201,15 @@ def co_train(marked: list[tuple[Row, int]], pool: list[Row], rounds: int = 4, sh
     return Model(views, platt, _platt(calibrated, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, id_col: str = "doc_id", train_rows: int = 3000, pool_rows: int = 3000,
-        train_chars: int = 20_000) -> Model:
-    """`labels(doc_id, quality)` of `docs`; pool rows come from `unlabelled`."""
+def fit(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, id_col: str = "doc_id", train_rows: int = 3000, quota: int = 300, train_chars: int = 20_000) -> Model:
+    """`labels(doc_id, quality)` of `docs`; pseudo-labels come from all of `unlabelled` but copies of the labelled
+    sample, whose rows also calibrate."""
     cols = ["text", "source", "lang", "n_chars"]
     chosen = hash_sample(labels.where("quality in (0, 1)").select(id_col, "quality"), F.col(id_col), train_rows, 6)
     short = lambda d: d.where(F.length(F.coalesce("text", F.lit(""))) <= train_chars).select(id_col, *cols)
-    rows = short(docs).join(F.broadcast(chosen), id_col).limit(4 * train_rows).collect()  # at most 2 * train_rows ids are sent
-    pool = hash_sample(short(unlabelled), F.col(id_col), pool_rows, 16, unlabelled.select(id_col).count()).collect()
-    return co_train([(tuple(r[c] for c in cols), r["quality"]) for r in rows], unmarked(rows, pool, id_col, cols))
-
-
-def unmarked(rows: list, pool: list, id_col: str, cols: list[str]) -> list[Row]:
-    """The pool without the labelled sample: rows that calibrate must not come back with pseudo-labels."""
-    marked = {r[id_col] for r in rows}
-    return [tuple(r[c] for c in cols) for r in pool if r[id_col] not in marked]
+    rows = short(docs).join(F.broadcast(chosen), id_col).withColumn("key", _key(cols)).limit(4 * train_rows).collect()  # at most 2 * train_rows ids are sent
+    surest = surest_in(short(unlabelled), cols, sorted({r["key"] for r in rows}))
+    return co_train([(tuple(r[c] for c in cols), r["quality"]) for r in rows], surest, quota=quota)
 
 
 def quality(model: Model, text: Column, source: Column, lang: Column, n_chars: Column) -> Column:

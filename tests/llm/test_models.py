@@ -54,10 +54,16 @@ def test_quality_logit_is_the_sum_of_its_parts():
     assert abs(model.logit(quality.text_view(row)) - content - sum(model.weight[i] for i in at(marks)) - model.weight[-1]) < 1e-9
 
 
-def test_quality_pool_leaves_out_the_labelled_sample():
-    cols = ["text", "source", "lang", "n_chars"]
-    row = lambda i: {"doc_id": i, "text": f"t{i}", "source": None, "lang": None, "n_chars": 2}
-    assert [r[0] for r in quality.unmarked([row(1), row(3)], [row(i) for i in range(5)], "doc_id", cols)] == ["t0", "t2", "t4"]
+def test_quality_pseudo_labels_are_the_surest_rows_of_the_whole_table(spark, docs_of):
+    rng, cols = np.random.default_rng(4), ["text", "source", "lang", "n_chars"]
+    pool = docs_of([(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 8)), "en", f"s{i}") for i in range(200)])
+    copies = pool.where("doc_id % 3 = 0").selectExpr("explode(sequence(1000, 1099)) as doc_id", *cols)
+    views = [quality.Logistic(rng.normal(size=(1 << quality.BITS) + 1) * 4) for _ in quality.VIEWS]
+    rows = [tuple(r[c] for c in cols) for r in pool.orderBy("doc_id").collect()]
+    choose, plain = quality.surest_in(pool.unionByName(copies.select(pool.columns)), cols, []), quality.surest_of(rows)
+    for _ in range(2):
+        got, want = choose(views, 9, 6), plain(views, 9, 6)
+        assert [sorted(x, key=repr) for x in got] == [sorted(x, key=repr) for x in want] and all(want)
 
 
 def held(spark, query, label):

@@ -459,10 +459,10 @@ def test_quality_views_and_empty_labels(spark, docs_of):
     rng = np.random.default_rng(3)
     good = [(" ".join(f"w{i}" for i in rng.integers(0, 400, 80)), "s1", "en", 500) for _ in range(80)]
     bad = [("junk!! " * 60, "s2", "en", 400) for _ in range(80)]
-    model = quality.co_train([(g, 1) for g in good[:60]] + [(b, 0) for b in bad[:60]], good[60:] + bad[60:])
+    model = quality.co_train([(g, 1) for g in good[:60]] + [(b, 0) for b in bad[:60]], quality.surest_of(good[60:] + bad[60:]))
     assert model.scores(good[70])[0] > 0.5 > model.scores(bad[70])[0]
     assert all(0 <= s <= 1 for s in model.scores((None, None, None, None)))
-    assert quality.co_train([], []).scores((None, None, None, None)) == (0.5, 0.5, 0.5)
+    assert quality.co_train([], quality.surest_of([])).scores((None, None, None, None)) == (0.5, 0.5, 0.5)
     labels = spark.createDataFrame([], "doc_id long, quality int")
     empty = quality.fit(docs_of(ROWS), labels, docs_of(ROWS))
     assert empty.scores(("x", None, None, 1))[0] == 0.5
