@@ -1,7 +1,9 @@
 """Morphology on sparse masks (region, r, c: the true pixels) by a rectangle, one axis at a time.
 
-An element of h pixels reads [i - h//2, i + h-1-h//2] in an erosion and the mirror of that in a
-dilation; outside the map is false in both, so a closing loses ground at the map's edge.
+An element of h pixels has h//2 pixels before its centre and h-1-h//2 after it. An erosion keeps
+pixels whose whole element is in the mask; a dilation spreads each pixel over its element. The two
+are adjoint, so a closing contains its mask (away from the map's edge) and an opening lies within
+it, for even sizes too. Outside the map is false in both, so a closing loses ground at the edge.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def _along(mask: DataFrame, h: int, size: int, across: str, along: str, grow: bo
         return mask
     left, right = h // 2, h - 1 - h // 2
     found = runs(mask, across, along)
-    if grow:  # the mirrored element, clipped to the map
-        wide = found.select("region", across, F.greatest(F.col("lo") - right, F.lit(0)).alias("lo"), F.least(F.col("hi") + left, F.lit(size - 1)).alias("hi"))
+    if grow:  # clipped to the map
+        wide = found.select("region", across, F.greatest(F.col("lo") - left, F.lit(0)).alias("lo"), F.least(F.col("hi") + right, F.lit(size - 1)).alias("hi"))
         return pixels(merged(wide, across), across, along)
     thin = found.select("region", across, (F.col("lo") + left).alias("lo"), (F.col("hi") - right).alias("hi")).where("lo <= hi")
     return pixels(thin, across, along)

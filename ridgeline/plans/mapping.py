@@ -13,7 +13,7 @@ from ridgeline.plans.arrival import BINS, SCAN, candidates
 from ridgeline.plans.base import CX, CY, GRAD, query
 from ridgeline.plans.ground import LAT, LON, ground
 from ridgeline.sources import fixtures
-from ridgeline.sources.tables import downsample, outline
+from ridgeline.sources.tables import downsample, outline, stage
 
 H, W, PH, PW = 4, 3, 3, 2
 FACTOR = 2
@@ -32,8 +32,8 @@ MASK = GRAD + """, mask as (select r, c from (select r, c, row_number() over (pa
 
 
 def grow(name: str, src: str, h: int, w: int) -> str:
-    return f""", {name}_r as (select distinct least(greatest(r, 0), w.w - 1) as r, c from (select unnest(range(r - {h - 1 - h // 2}, r + {h // 2} + 1)) as r, c from {src}), w where r between 0 and w.w - 1),
-    {name} as (select distinct r, c from (select r, unnest(range(c - {w - 1 - w // 2}, c + {w // 2} + 1)) as c from {name}_r), w where c between 0 and w.w - 1)"""
+    return f""", {name}_r as (select distinct r, c from (select unnest(range(r - {h // 2}, r + {h - 1 - h // 2} + 1)) as r, c from {src}), w where r between 0 and w.w - 1),
+    {name} as (select distinct r, c from (select r, unnest(range(c - {w // 2}, c + {w - 1 - w // 2} + 1)) as c from {name}_r), w where c between 0 and w.w - 1)"""
 
 
 def shrink(name: str, src: str, h: int, w: int) -> str:
@@ -197,8 +197,8 @@ def site_observables(spark, sf):
 
 def site_table(spark: SparkSession, sf: str) -> DataFrame:
     """All labelled regions with pixels, capacity and whether they are selected."""
-    lab = G.cut(labels(spark, sf))
-    caps = G.cut(capacities(spark, sf, lab).join(G.areas(lab, PX_KM2), ["region", "site_id"]))
+    lab = stage(labels(spark, sf), "labels")
+    caps = stage(capacities(spark, sf, lab).join(G.areas(lab, PX_KM2), ["region", "site_id"]), "capacities")
     kept = G.select_sites(caps.where((F.col("pixels") >= NEED) & (F.col("capacity_exact") >= 5)), 60, True, True)
     return caps.join(kept.select("region", "site_id", "selected", "viz_id", "total_capacity"), ["region", "site_id"], "left").fillna(False, ["selected"])
 

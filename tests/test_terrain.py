@@ -46,8 +46,9 @@ PATTERN = ["##..#.....", "##..#..#..", "......##..", ".###......", ".#.#....#.",
 
 
 def brute(pixels, rows, cols, h, w, grow):
-    a, b, c, d = (h - 1 - h // 2, h // 2, w - 1 - w // 2, w // 2) if grow else (h // 2, h - 1 - h // 2, w // 2, w - 1 - w // 2)
-    window = lambda r, x: [(r + i, x + j) for i in range(-b if grow else -a, (a if grow else b) + 1) for j in range(-d if grow else -c, (c if grow else d) + 1)]
+    """An element reaches h // 2 before its centre; a dilation reads where elements that cover a pixel stand."""
+    rs, cs = ([(n - 1 - n // 2, n // 2) if grow else (n // 2, n - 1 - n // 2) for n in (h, w)])
+    window = lambda r, x: [(r + i, x + j) for i in range(-rs[0], rs[1] + 1) for j in range(-cs[0], cs[1] + 1)]
     test = any if grow else all
     return {(r, x) for r in range(rows) for x in range(cols) if test(p in pixels for p in window(r, x))}
 
@@ -62,6 +63,16 @@ def test_morphology_against_brute_force(spark, h, w):
     assert thin <= pixels <= grown
 
 
+@pytest.mark.parametrize(("h", "w"), [(4, 1), (1, 2), (2, 3), (4, 4), (3, 3)])
+def test_a_closing_contains_its_mask_and_an_opening_lies_within_it(spark, h, w):
+    mask = mask_of(spark, PATTERN).select("region", (F.col("r") + 10).alias("r"), (F.col("c") + 10).alias("c"))  # away from the edge
+    pixels = {(r["r"], r["c"]) for r in mask.collect()}
+    got = lambda df: {(r["r"], r["c"]) for r in df.collect()}
+    closed, opened = masks.close_gaps(mask, h, w, 40, 40), masks.prune(mask, h, w, 40, 40)
+    assert got(opened) <= pixels <= got(closed)
+    assert got(masks.close_gaps(closed, h, w, 40, 40)) == got(closed) and got(masks.prune(opened, h, w, 40, 40)) == got(opened)
+
+
 def test_labels_count_four_neighbour_regions_in_raster_order(spark):
     got = {(r["r"], r["c"]): r["site_id"] for r in sites.label(mask_of(spark, PATTERN), 10).collect()}
     assert got[0, 0] == got[1, 1] == 1 and got[0, 4] == 2 and got[1, 7] == got[2, 6] == 3
