@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, exact_dedup, language_id, license_scan, packing, pfor, pii, simhash, toxicity
+from ridgeline.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, packing, pfor, pii, ranked_search, simhash, toxicity, whitening
 from ridgeline.llm import quality as quality_model
 from ridgeline.llm.common import documents, held_out
 
@@ -71,10 +71,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.spans(documents(spark, sf_dir)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicated(documents(spark, sf_dir))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_exact_dedup, op3_license_scan, op4_language_id, op5_decontaminate, op6_quality, op7_token_files, op8_toxicity,
-        op9_packing, op10_pii)}
+        op9_packing, op10_pii, op11_line_dedup, op12_whitening, op13_ranked_search)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,5 +141,31 @@ OP5 = f"""
     from d left join hit_words using (rid) left join items using (rid)"""
 
 
+OP11 = """
+    with d as (select doc_id, row_number() over () as rid, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    l as (select doc_id, rid, unnest(ls) as line, unnest(range(len(ls))) as i from d),
+    k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+    hot as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct rid) >= 3),
+    f as (select rid, line, i, keeper is not null and doc_id is distinct from keeper as gone from k left join hot using (key))
+    select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+    from f join d using (rid) group by rid"""
+
+TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+    with b as (select item_id, row_number() over () as item, {TERMS} as ts from benchmark),
+    q as (select distinct item, unnest(ts) as term from b),
+    d as (select doc_id, row_number() over () as rid, {TERMS} as ts from documents),
+    size as (select doc_id, rid, len(ts) as n from d where len(ts) > 0),
+    total as (select count(*) as docs, cast(sum(n) as bigint) as terms from size),
+    tf as (select rid, term, count(*) as tf from (select rid, unnest(ts) as term from d) where term in (select term from q) group by all),
+    weight as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by term, docs),
+    s as (select item, rid, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) as bigint) as score
+          from q join tf using (term) join weight using (term) join size using (rid), total group by item, rid),
+    ranked as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id) as k from s join size using (rid) where score > 0)
+    select item_id, cast(k as int) as rank, doc_id, score from ranked join b using (item) where k <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_license_scan": OP3, "op5_decontaminate": OP5}
+    return {"op2_exact_dedup": OP2, "op3_license_scan": OP3, "op5_decontaminate": OP5, "op11_line_dedup": OP11, "op13_ranked_search": OP13}
