@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import physics as P
 from ridgeline.functions import scoring as S
+from ridgeline.operators.quantiles import long_form as percentile_rows
+from ridgeline.operators.quantiles import quantiles, wide_form
 from ridgeline.sources.tables import stage
 
 
@@ -118,8 +120,9 @@ def score(observed: DataFrame, cfg: ScoreConfig, distance_window: tuple[float, f
 
 def cut_percentile(scored: DataFrame, top_percent: float) -> DataFrame:
     """The best `top_percent` of the candidates that accept anything, by interpolated percentile."""
-    viable = scored.where("cells > 0")
-    return viable.join(F.broadcast(viable.agg(F.percentile("score", F.lit(1 - top_percent / 100)).alias("cut")))).where("score >= cut").drop("cut")
+    viable = stage(scored.where("cells > 0"), "viable")
+    cut = quantiles(viable.select(F.col("score").alias("value")), [], [1 - top_percent / 100]).select(F.col("q")[0].alias("cut"))
+    return viable.join(F.broadcast(cut)).where("score >= cut").drop("cut")  # one row
 
 
 def cut_score(scored: DataFrame, least: float) -> DataFrame:
@@ -131,8 +134,13 @@ def names(scored: DataFrame) -> list[str]:
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.avg("score").alias("score_mean"), F.percentile("score", F.lit(0.5)).alias("score_p50"), F.percentile("score", F.lit(0.9)).alias("score_p90"),
-                      F.max("score").alias("score_max"), *[F.percentile(c, F.lit(0.5)).alias(f"{c[6:]}_score_p50") for c in names(scored)])
+    """Mean, median, 90th percentile and maximum of the score, and the median of each component."""
+    scored = stage(scored, "scored")
+    means = scored.agg(F.avg("score").alias("score_mean"), F.max("score").alias("score_max"))
+    found = quantiles(percentile_rows(scored, [], ["score", *names(scored)]), ["name"], [0.5, 0.9])
+    named = {"score_p50": ("score", 0), "score_p90": ("score", 1)} | {f"{c[6:]}_score_p50": (c, 0) for c in names(scored)}
+    both = means.join(F.broadcast(wide_form(found, [], named)))  # one row each
+    return both.select("score_mean", "score_p50", "score_p90", "score_max", *list(named)[2:])
 
 
 def long_form(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,16 +153,17 @@ def composition(scored: DataFrame, cut: float) -> DataFrame:
     """How the product falls component by component, in order of falling medians: rank, component,
     median, running median, share of candidates above `cut` and drift of the whole product from
     the stored score. The order is a table of as many rows as components, joined by name."""
-    viable = scored.where("cells > 0")
-    parts = long_form(viable, ["cand_id", "score"])
-    medians = parts.groupBy("component").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    parts = stage(long_form(scored.where("cells > 0"), ["cand_id", "score"]), "components")
+    medians = quantiles(parts, ["component"], [0.5]).select("component", F.col("q")[0].alias("median"))
     ranked = medians.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("median"), "component")))
     w = Window.partitionBy("cand_id").orderBy("rank")
     run = parts.join(F.broadcast(ranked), "component").withColumn("running", F.when(F.min("value").over(w) <= 0, 0.0).otherwise(
         F.exp(F.sum(F.ln(F.when(F.col("value") > 0, F.col("value")))).over(w))))
-    return run.groupBy("rank", "component", "median").agg(
-        F.percentile("running", F.lit(0.5)).alias("running_median"), F.avg(F.when(F.col("running") >= cut, 1.0).otherwise(0.0)).alias("share_above"),
-        F.max(F.abs(F.col("running") - F.col("score"))).alias("drift"))
+    run = stage(run, "running")
+    middle = quantiles(run.select("component", F.col("running").alias("value")), ["component"], [0.5]).select("component", F.col("q")[0].alias("running_median"))
+    shares = run.groupBy("rank", "component", "median").agg(
+        F.avg(F.when(F.col("running") >= cut, 1.0).otherwise(0.0)).alias("share_above"), F.max(F.abs(F.col("running") - F.col("score"))).alias("drift"))
+    return shares.join(middle, "component").select("rank", "component", "median", "running_median", "share_above", "drift")
 
 
 def histogram(scored: DataFrame, bins: int = 60) -> DataFrame:

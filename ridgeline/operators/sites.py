@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.masks import runs
+from ridgeline.operators.quantiles import long_form, quantiles, wide_form
 from ridgeline.sources.tables import stage
 
 SIN_60 = math.sin(math.radians(60))
@@ -166,10 +167,13 @@ def select_sites(sites: DataFrame, target: int, distributed: bool = True, stop_a
 def site_observables(labels: DataFrame, accepted: DataFrame, factor: int, columns: list[str]) -> DataFrame:
     """<column>_mean, _p50 and _p90 over the accepted candidates of each site."""
     at = accepted.withColumn("r", F.expr(f"int(r div {factor})")).withColumn("c", F.expr(f"int(c div {factor})"))
-    aggs = [F.count(F.lit(1)).alias("candidates")]
-    for c in columns:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_p50"), F.percentile(c, F.lit(0.9)).alias(f"{c}_p90")]
-    return at.join(labels.select("region", "r", "c", "site_id"), ["region", "r", "c"]).groupBy("region", "site_id").agg(*aggs)
+    key = ["region", "site_id"]
+    rows = stage(at.join(labels.select("region", "r", "c", "site_id"), ["region", "r", "c"]).select(*key, *columns), "site-observables")
+    means = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
+    found = quantiles(long_form(rows, key, columns), [*key, "name"], [0.5, 0.9])
+    named = {f"{c}_p{p}": (c, k) for c in columns for k, p in enumerate((50, 90))}
+    order = [x for c in columns for x in (f"{c}_mean", f"{c}_p50", f"{c}_p90")]
+    return means.join(wide_form(found, key, named), key, "left").select(*key, "candidates", *order)
 
 
 def region_stats(sites: DataFrame, need_pixels: int, need_capacity: int, factor: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import combine as C
 from ridgeline.operators import screening as S
+from ridgeline.operators.quantiles import quantiles
 from ridgeline.plans.base import CX, CY, DEM, GRAD, cand, query
 from ridgeline.sources import fixtures, tables
 
@@ -284,6 +285,6 @@ def terrain_profile(spark, sf):
 @query("altitude_limits", f"""with {DEM}, q as (select quantile_cont(z, 0.005) as lo, quantile_cont(z, 0.998) as hi, min(z) as least from dem where z is not null)
     select case when least <= 0 then 0.0 else floor(lo / 100) * 100 end as min_altitude, ceil(hi / 100) * 100 as max_altitude from q""")
 def altitude_limits(spark, sf):
-    z = fixtures.dem(spark, sf).where("z is not null").agg(F.percentile("z", F.array(F.lit(0.005), F.lit(0.998))).alias("p"), F.min("z").alias("least"))
-    return z.select(F.when(F.col("least") <= 0, 0.0).otherwise(F.floor(F.col("p")[0] / 100) * 100).cast("double").alias("min_altitude"),
-                    (F.ceil(F.col("p")[1] / 100) * 100).cast("double").alias("max_altitude"))
+    z = quantiles(fixtures.dem(spark, sf).select(F.col("z").alias("value")), [], [0.0, 0.005, 0.998])
+    return z.select(F.when(F.col("q")[0] <= 0, 0.0).otherwise(F.floor(F.col("q")[1] / 100) * 100).cast("double").alias("min_altitude"),
+                    (F.ceil(F.col("q")[2] / 100) * 100).cast("double").alias("max_altitude"))
