@@ -58,24 +58,26 @@ def erode(spark, sf):
     return K.erode(K.dilate(mask(spark, sf), H, W, n, n), H, W, n, n).select("r", "c")
 
 
-def closed(spark: SparkSession, sf: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of the closed mask and of the pruned one."""
     n = fixtures.width(spark, sf)
-    return K.close_gaps(mask(spark, sf), H, W, n, n)
+    return K.cleaned(mask(spark, sf), (H, W), (PH, PW), n, n)
 
 
 def pruned(spark: SparkSession, sf: str) -> DataFrame:
-    n = fixtures.width(spark, sf)
-    return K.prune(closed(spark, sf), PH, PW, n, n)
+    """Runs, written, as labels and capacity both read them."""
+    return stage(cleaned(spark, sf)[1], "pruned")
 
 
 @query("close_gaps", f"with {CLOSED} select {RC} from closed union select {RC} from closed")
 def close_gaps(spark, sf):
-    return closed(spark, sf).select("r", "c")
+    n = fixtures.width(spark, sf)
+    return K.close_gaps(mask(spark, sf), H, W, n, n).select("r", "c")
 
 
 @query("prune_tendrils", f"with {PRUNED} select {RC} from pruned")
 def prune_tendrils(spark, sf):
-    return pruned(spark, sf).select("r", "c")
+    return K.pixels(cleaned(spark, sf)[1]).select("r", "c")
 
 
 @query("stride_check", """with p as (select s_suppkey as run, s_suppkey % 9 + 1 as stride, 20.0 + s_suppkey % 11 as cell_y_m, case when s_suppkey % 4 = 0 then null else (s_suppkey % 5) * 0.05 end as gap_close_km, 0.1 as spacing_km from supplier)
@@ -88,9 +90,10 @@ def stride_check(spark, sf):
     return K.stride_check(p)
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
+def labels(spark: SparkSession, sf: str, clean: DataFrame | None = None) -> DataFrame:
+    """Label runs of the decimated map."""
     n = fixtures.width(spark, sf)
-    return G.label(downsample(pruned(spark, sf), FACTOR), n)
+    return G.label_runs(K.downsampled(cleaned(spark, sf)[1] if clean is None else clean, FACTOR), n)
 
 
 LABELS = PRUNED + f""",
@@ -105,7 +108,7 @@ label as (select r, unnest(range(lo, hi + 1)) as c, first, site_id from named)""
 
 @query("label_regions", f"{WITH}{LABELS} select {RC}, first, cast(site_id as int) as site_id from label")
 def label_regions(spark, sf):
-    return labels(spark, sf).select("r", "c", "first", "site_id")
+    return K.pixels(labels(spark, sf), "first", "site_id").select("r", "c", "first", "site_id")
 
 
 @query("region_area", f"{WITH}{LABELS} select cast(site_id as int) as site_id, count(*) as pixels, round(count(*) * {PX_KM2}, 6) as area_km2 from label group by site_id")
@@ -146,8 +149,11 @@ def site_facing(spark, sf):
     return o.select("site_id", F.round("mean_aspect_deg", 4).alias("mean_aspect_deg"), "facing_direction")
 
 
-def capacities(spark: SparkSession, sf: str, lab: DataFrame | None = None) -> DataFrame:
-    return G.capacity(labels(spark, sf) if lab is None else lab, pruned(spark, sf), FACTOR, CY, CX, SPACING)
+def capacities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Label runs, written, and the capacity of each site."""
+    clean = pruned(spark, sf)
+    lab = stage(labels(spark, sf, clean), "labels")
+    return lab, G.capacity(lab, clean, FACTOR, CY, CX, SPACING)
 
 
 PITCH = SPACING * G.SIN_60
@@ -162,7 +168,7 @@ cap as (select box.site_id, count(p.site_id) as capacity_exact from box left joi
 
 @query("lattice_capacity", f"{WITH}{LABELS}{CAPS} select cast(site_id as int) as site_id, capacity_exact from cap")
 def lattice_capacity(spark, sf):
-    return capacities(spark, sf).select("site_id", "capacity_exact")
+    return capacities(spark, sf)[1].select("site_id", "capacity_exact")
 
 
 STEP = FACTOR / 3600
@@ -178,7 +184,7 @@ def site_centre(spark, sf):
       row_number() over (order by capacity_exact desc, site_id) as k from cap where capacity_exact >= 5)
     select cast(site_id as int) as site_id, capacity_exact, before < 60 as selected, cast(case when before < 60 then k end as int) as viz_id, cast(sum(case when before < 60 then capacity_exact end) over () as bigint) as total_capacity from o""")
 def select_sites(spark, sf):
-    return G.select_sites(capacities(spark, sf).where("capacity_exact >= 5"), 60, True, True).drop("region")
+    return G.select_sites(capacities(spark, sf)[1].where("capacity_exact >= 5"), 60, True, True).drop("region")
 
 
 #: The scan's clauses after the shared ground clauses.
@@ -197,8 +203,8 @@ def site_observables(spark, sf):
 
 def site_table(spark: SparkSession, sf: str) -> DataFrame:
     """All labelled regions with pixels, capacity and whether they are selected."""
-    lab = stage(labels(spark, sf), "labels")
-    caps = stage(capacities(spark, sf, lab).join(G.areas(lab, PX_KM2), ["region", "site_id"]), "capacities")
+    lab, caps = capacities(spark, sf)
+    caps = stage(caps.join(G.areas(lab, PX_KM2), ["region", "site_id"]), "capacities")
     kept = G.select_sites(caps.where((F.col("pixels") >= NEED) & (F.col("capacity_exact") >= 5)), 60, True, True)
     return caps.join(kept.select("region", "site_id", "selected", "viz_id", "total_capacity"), ["region", "site_id"], "left").fillna(False, ["selected"])
 
@@ -220,5 +226,5 @@ def region_stats(spark, sf):
       round({LAT} - (s.r + (side <> 'n')::int) * {STEP}, 9) as lat1, round({LON} + (s.c + (side <> 'w')::int) * {STEP}, 9) as lon1
     from side s where not exists (select 1 from label n where n.site_id = s.site_id and n.r = s.r + s.dr and n.c = s.c + s.dc)""")
 def site_outline(spark, sf):
-    o = outline(labels(spark, sf), LAT, LON, STEP)
+    o = outline(K.pixels(labels(spark, sf), "site_id"), LAT, LON, STEP)
     return o.select("site_id", "r", "c", "side", *[F.round(x, 9).alias(x) for x in ("lat0", "lon0", "lat1", "lon1")])

@@ -91,7 +91,9 @@ def screened(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings)
 
 
 def _counted(rows: DataFrame, pos: int, name: str) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(pos).alias("pos"), F.lit(name).alias("stage"), "n")
+    """Rows, or pixels of runs."""
+    n = K.count(rows) if "lo" in rows.columns else rows.agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.lit(pos).alias("pos"), F.lit(name).alias("stage"), "n")
 
 
 def scanned(dem: DataFrame, grid: Grid, p: SearchParams, around: Surroundings = Surroundings()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -122,12 +124,13 @@ def packed(dem: DataFrame, grid: Grid, p: SearchParams, kept: DataFrame, seen: D
     element = lambda km: (K.element_pixels(km, grid.cell_y), K.element_pixels(km, grid.cell_x))
     gap = p.spacing_km if p.gap_close_km is None else p.gap_close_km
     mask = accepted.select("region", "r", "c")
-    closed = stage(K.close_gaps(mask, *element(gap), grid.rows, grid.cols), "closed")
-    clean = stage(K.prune(closed, *element(p.min_width_km / 2), grid.rows, grid.cols), "pruned")
+    steps = stage(K.tiled(mask, [("grow", *element(gap)), ("thin", *element(gap)), ("thin", *element(p.min_width_km / 2)), ("grow", *element(p.min_width_km / 2))],
+                          grid.rows, grid.cols, keep=[1, 3]), "masks")
+    closed, clean = steps.where("step = 1"), steps.where("step = 3").drop("step")
     later += [(stages.CLOSED, closed), (stages.PRUNED, clean)]
     f = p.downsample
     px_km2 = grid.cell_y * f / 1000 * grid.cell_x * f / 1000
-    labels = stage(G.label(downsample(clean, f), grid.cols), "labels")
+    labels = stage(G.label_runs(K.downsampled(clean, f), grid.cols), "labels")
     threshold = p.min_sub_array if p.distributed else p.target
     need = G.required_pixels(threshold, p.spacing_km, px_km2)
     large = stage(G.areas(labels, px_km2).where(F.col("pixels") >= need), "large")

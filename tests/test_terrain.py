@@ -83,6 +83,7 @@ def test_labels_count_four_neighbour_regions_in_raster_order(spark):
 def test_capacity_follows_lattice_density(spark):
     n, cell, spacing = 60, 20.0, 100.0
     mask = spark.range(n * n).select(F.lit("a").alias("region"), F.expr(f"int(id div {n})").alias("r"), (F.col("id") % n).cast("int").alias("c"))
+    mask = masks.runs(mask)
     labels = mask.withColumn("site_id", F.lit(1))
     for hexagonal, density in ((False, 1.0), (True, 1 / sites.SIN_60)):
         found = sites.capacity(labels, mask, 1, cell, cell, spacing, hexagonal).first()["capacity_exact"]
