@@ -31,7 +31,7 @@ def plain_ftrl(rows, epochs, alpha=2.0, beta=1.0, l1=3.0, l2=0.1, seed=8):
 def test_toxicity_training_is_plain_ftrl():
     rng = np.random.default_rng(1)
     rows = [(" ".join(f"w{i}" for i in rng.integers(0, 40, 12)) + (" awful thing" if y else ""), y) for y in rng.integers(0, 2, 40).tolist()]
-    model = toxicity.train(rows, epochs=3)
+    model = toxicity.train([toxicity.example(*row) for row in rows], epochs=3, alpha=2.0)
     want, bias = plain_ftrl(rows, 3)
     assert set(want) == set(model.index.tolist()) and abs(bias - model.bias) < 1e-9
     assert all(abs(want[i] - w) < 1e-9 for i, w in zip(model.index.tolist(), model.weight.tolist(), strict=True))
@@ -90,3 +90,26 @@ def test_empty_tables_and_clashing_columns(spark, docs_of):
         good = quality.fit(rows, marks, rows)
         scored = rows.select("doc_id", toxicity.toxicity(tox, entries.F.col("text")).alias("t"), quality.quality(good, *map(entries.F.col, ("text", "source", "lang", "n_chars"))).alias("q")).collect()
         assert len(scored) == rows.count() and all(0 <= r["t"] <= 1 and 0 <= r["q"]["score"] <= 1 for r in scored)
+
+
+def test_toxicity_prior_is_that_of_all_labels_whatever_the_sample(spark):
+    """1,500 clean and 60 toxic rows without a telling word: the scores stay near the true rate when classes are sampled alike."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 30, 8))) for k in range(1560)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 26 == 0)) for k in range(1560)], "doc_id long, toxic int")
+    for train_rows in (40, 5000):
+        scores = [r["s"] for r in docs.select(toxicity.toxicity(toxicity.fit(docs, labels, train_rows=train_rows), entries.F.col("text")).alias("s")).collect()]
+        assert 0.01 < np.mean(scores) < 0.12, train_rows
+
+
+def test_toxicity_rate_is_chosen_on_training_rows_and_repeated_ids_do_not_crowd_out(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 50, 20)) + (" nastyword" if k % 2 else "")) for k in range(200)]
+    examples = [toxicity.example(t, k % 2) for k, t in rows]
+    assert toxicity.best_rate(examples) in toxicity.RATES and toxicity.best_rate([]) in toxicity.RATES
+    docs = spark.createDataFrame([(0, "copy of a row")] * 500 + rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(0, 0)] * 300, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, train_rows=120)
+    dense = model.dense()
+    assert toxicity.score(dense, model.bias, "w1 w2 nastyword w3") > 0.5 > toxicity.score(dense, model.bias, "w1 w2 w3")
