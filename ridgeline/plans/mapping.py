@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators import masks as K
+from ridgeline.operators import rings as R
 from ridgeline.operators import scan as A
 from ridgeline.operators import screening as S
 from ridgeline.operators import sites as G
@@ -228,3 +229,19 @@ def region_stats(spark, sf):
 def site_outline(spark, sf):
     o = outline(K.pixels(labels(spark, sf), "site_id"), LAT, LON, STEP)
     return o.select("site_id", "r", "c", "side", *[F.round(x, 9).alias(x) for x in ("lat0", "lon0", "lat1", "lon1")])
+
+
+@query("site_rings", f"""{WITH}{LABELS}, px as (select site_id, count(*) as n from label group by site_id),
+    pair as (select a.site_id, count(*) as n from label a join label b on a.site_id = b.site_id and ((b.r = a.r + 1 and b.c = a.c) or (b.r = a.r and b.c = a.c + 1)) group by a.site_id),
+    quad as (select a.site_id, count(*) as n from label a join label b on b.site_id = a.site_id and b.r = a.r + 1 and b.c = a.c join label c on c.site_id = a.site_id and c.r = a.r and c.c = a.c + 1
+      join label d on d.site_id = a.site_id and d.r = a.r + 1 and d.c = a.c + 1 group by a.site_id)
+    select cast(px.site_id as int) as site_id, 2 - (px.n - coalesce(pair.n, 0) + coalesce(quad.n, 0)) as rings, 1 - (px.n - coalesce(pair.n, 0) + coalesce(quad.n, 0)) as holes,
+      4 * px.n - 2 * coalesce(pair.n, 0) as edges, px.n as area_px from px left join pair using (site_id) left join quad using (site_id)""")
+def site_rings(spark, sf):
+    """Holes by Euler's formula in the SQL, by traced rings here."""
+    return R.summary(R.rings(stage(labels(spark, sf), "labels"))).drop("region")
+
+
+@query("ring_corners")
+def ring_corners(spark, sf):
+    return R.corners(R.rings(stage(labels(spark, sf), "labels")), LAT, LON, STEP).drop("region")

@@ -11,9 +11,10 @@ from ridgeline.operators import combine as C
 from ridgeline.operators import curves
 from ridgeline.operators import screening as S
 from ridgeline.operators.sites import SIN_60
+from ridgeline.plans import base
 from ridgeline.plans.base import DEM, GRAD, query
 from ridgeline.plans.ground import DEG, LAT, LON, ground
-from ridgeline.sources import fixtures
+from ridgeline.sources import fixtures, run_store
 from ridgeline.sources.tables import load_curve, scratch_dir
 
 RUNS = ["gentle", "steep", "south"]
@@ -37,11 +38,22 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
 @query("alignment_check", """with g as (select s_suppkey as run, 100 + s_suppkey // 40 as rows, 100 as cols, 0.1 as t0, 0.0 as t1, 0.0 as t2, -0.1 as t3, -72.0 + case when s_suppkey % 3 = 0 then 1e-6 else 1e-12 * s_suppkey end as t4, -15.0 as t5 from supplier)
     select a.run as run_a, b.run as run_b, a.rows = b.rows and abs(a.t4 - b.t4) <= 1e-9 as aligned from g a join g b on a.run < b.run""")
 def alignment_check(spark, sf):
+    return C.alignment(grids(spark, sf))
+
+
+def grids(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid for each supplier."""
     k = F.col("s_suppkey")
-    g = spark.read.parquet(f"{sf}/supplier.parquet").select(
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(
         k.alias("run"), (F.lit(100) + F.expr("s_suppkey div 40")).alias("rows"), F.lit(100).alias("cols"), F.lit(0.1).alias("t0"), F.lit(0.0).alias("t1"), F.lit(0.0).alias("t2"), F.lit(-0.1).alias("t3"),
         (-72.0 + F.when(k % 3 == 0, 1e-6).otherwise(1e-12 * k)).alias("t4"), F.lit(-15.0).alias("t5"))
-    return C.alignment(g)
+
+
+@query("alignment_classes", """with g as (select s_suppkey as run, 100 + s_suppkey // 40 as rows, -72.0 + case when s_suppkey % 3 = 0 then 1e-6 else 1e-12 * s_suppkey end as t4 from supplier),
+    v as (select rows, t4, sum(fresh) over (partition by rows order by t4) as g from (select rows, t4, coalesce((t4 - lag(t4) over (partition by rows order by t4) > 1e-9)::int, 0) as fresh from (select distinct rows, t4 from g)))
+    select run, min(run) over w as class_id, count(*) over w as class_size, max(t4) over w - min(t4) over w <= 1e-9 as uniform from g join v using (rows, t4) window w as (partition by rows, g)""")
+def alignment_classes(spark, sf):
+    return C.alignment_classes(grids(spark, sf))
 
 
 @query("joint_union", f"with {MASKS} select count(*) filter (code & 3 = 3) as joint_pixels, count(*) as union_pixels, round(count(*) filter (code & 3 = 3) * {AREA}, 6) as joint_km2, round(count(*) * {AREA}, 6) as union_km2 from codes")
@@ -192,3 +204,38 @@ def curve_load(spark, sf):
     nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat_ws(",", F.col("n_nationkey").cast("double"), F.col("n_regionkey") * 1.5).alias("value"))
     nations.unionByName(spark.range(1).select(F.lit("# energy, value").alias("value"))).write.text(path)
     return load_curve(spark, path)
+
+
+PREFIXES = ("search", "older")
+#: Runs of the store: mask, results under this name, georeferencing, elevation file.
+WORLD = run_store.world_text(DEG, LAT, LON)
+STORED = [("gentle", "gentle", "search", WORLD, "/data/high.dem"), ("steep", "steep", "older", WORLD, "/data/high.dem"), ("south", "south", "search", WORLD, "lost.dem"),
+          ("bent", "gentle", "search", WORLD.rsplit("\n", 1)[0], "/data/high.dem"), ("bare", "steep", "other", WORLD, "/data/high.dem")]
+
+
+def store(spark: SparkSession, sf: str) -> str:
+    """The masks of three runs, and two bad records, in a new store."""
+    path = scratch_dir(spark, "store")
+    named = spark.createDataFrame(STORED, "run string, mask string, prefix string, world string, dem string")
+    copies = masks(spark, sf).withColumnRenamed("run", "mask").join(F.broadcast(named.select("run", "mask")), "mask").select("run", "r", "c")
+    records = named.select("run", "prefix", "world", F.to_json(F.struct(F.length("run").alias("total_capacity"))).alias("results"), F.to_json(F.struct("dem")).alias("provenance"))
+    run_store.save(path, copies, records)
+    return path
+
+
+@query("runs_catalogue", f"""with {MASKS}, n as (select run as mask, count(*) as pixels from masks group by run),
+    s(run, mask, prefix, dem, status) as (values ('gentle', 'gentle', 'search', 'b/high.dem', 'ok'), ('steep', 'steep', 'older', 'b/high.dem', 'ok'), ('south', 'south', 'search', null, 'ok'),
+      ('bent', 'gentle', 'search', 'b/high.dem', 'not six terms'), ('bare', 'steep', null, null, 'no results'))
+    select run, prefix, pixels, case when prefix is not null then length(run) end as capacity, dem, status, case when status = 'ok' then round({LON}, 6) end as west from s join n using (mask)""")
+def runs_catalogue(spark, sf):
+    dems = spark.createDataFrame([("high.dem", "b/high.dem"), ("high.dem", "c/high.dem"), ("low.dem", "b/low.dem")], "name string, location string")
+    found = run_store.catalogue(spark, store(spark, sf), PREFIXES, dems)
+    return found.select("run", "prefix", "pixels", "capacity", "dem", "status", F.round(F.col("terms")[4], 6).alias("west"))
+
+
+@query("stored_overlap", base.SQL["pairwise_overlap"])
+def stored_overlap(spark, sf):
+    """As pairwise_overlap, of masks that were saved and read again."""
+    stored, _ = run_store.open_masks(spark, store(spark, sf), RUNS, PREFIXES)
+    p = C.pairwise(C.membership(stored, RUNS), RUNS, AREA)
+    return p.select("run_a", "run_b", F.round("overlap_km2", 6).alias("overlap_km2"), *[F.round(c, 8).alias(c) for c in ("jaccard", "share_a", "share_b")])
