@@ -2,8 +2,8 @@
 
 The join of every sample with every pixel moves a row for each sample. Here the DEM is packed
 into square tiles once (an array of floats each); a tile of candidates is co-grouped with the
-terrain tiles its rays can reach, and a numpy kernel walks all rays of the tile together, one
-distance at a time. A group holds one candidate tile and its surroundings, whatever the size of
+terrain tiles its rays can reach, and a numpy kernel walks all rays of the tile together. Pyramids of
+the highest and lowest ground let a ray pass over stretches that can change nothing but a count. A group holds one candidate tile and its surroundings, whatever the size of
 the region: (tile + 2 * reach)^2 floats. Results equal those of the join (tests compare them).
 """
 
@@ -48,9 +48,47 @@ def tile_size(reach: int, least: int = 32, most: int = 1024) -> int:
     return size
 
 
-def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: ScanParams) -> pd.DataFrame:
-    """Observables of all candidates of a tile over the window `z`, whose first pixel is (r0, c0)."""
-    n, n_az, step = len(cand), p.azimuths, p.step_m(grid)
+#: Samples of a ray that are judged together, and each into how many shorter stretches it falls.
+STRETCH, SPLIT = 64, 4
+
+
+class Heights:
+    """A window of terrain with the highest and lowest pixel of its blocks, by levels; a block with a void has no bounds."""
+
+    def __init__(self, z: np.ndarray, grid: Grid, step: float) -> None:
+        self.z, self.levels, n = z, {}, STRETCH
+        while n > SPLIT:
+            size = 1
+            while size < (n - 2) * step / min(grid.cell_y, grid.cell_x) + 3:  # rows or columns that n - 1 samples can touch
+                size *= 2
+            self.levels[n] = (size, *self._bounds(size))
+            n //= SPLIT
+
+    def _bounds(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each four blocks whose first is at (i, j): they hold any box of `size` pixels that begins in it."""
+        rows, cols = (-(-n // size) + 1 for n in self.z.shape)
+        wide = np.full((rows * size, cols * size), np.nan)
+        wide[: self.z.shape[0], : self.z.shape[1]] = self.z
+        blocks = wide.reshape(rows, size, cols, size)
+        out = []
+        for pick, none in ((np.max, np.inf), (np.min, -np.inf)):
+            one = pick(blocks, axis=(1, 3))
+            one[np.isnan(one)] = none
+            four = np.full((rows, cols), none)
+            four[:-1, :-1] = pick([one[:-1, :-1], one[1:, :-1], one[:-1, 1:], one[1:, 1:]], axis=0)
+            out.append(four)
+        return out[0], out[1]
+
+
+def walk(heights: Heights, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: ScanParams, read: list[int] | None = None) -> pd.DataFrame:
+    """Observables of all candidates of a tile over a window whose first pixel is (r0, c0).
+
+    A stretch of samples is passed over if the highest and lowest ground near it put all its slopes into one elevation bin that the ray
+    has hit before (or below all bins): then it adds its length to the bin's count and nothing else. Its last
+    two samples are always taken, as a hit in the last or after it needs the height before. All other stretches are split, at last into single samples.
+    A stretch that may hold the ray's horizon is looked at again in the end, if its highest ground still passes the horizon
+    found. `read` gets the numbers of samples taken."""
+    n, n_az, step, z = len(cand), p.azimuths, p.step_m(grid), heights.z
     row, col = np.repeat(cand["r"].to_numpy(np.int64), n_az), np.repeat(cand["c"].to_numpy(np.int64), n_az)
     azimuth = np.tile(np.array(p.offsets()), n) + (np.repeat(cand["aspect"].to_numpy(float), n_az) if p.use_aspect else 0)
     sin, cos = np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth))
@@ -60,23 +98,35 @@ def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: Sca
     count = np.zeros((p.bins + 1, n * n_az), dtype=np.int64)
     top, before = np.full(n * n_az, -np.inf), np.full(n * n_az, np.nan)
     highest = np.zeros(n * n_az, dtype=np.int64)  # bins already hit
-    live = np.nonzero(~np.isnan(start))[0]
-    for k in range(1, int(p.max_range / step + 1e-9) + 1):
+    last = int(p.max_range / step + 1e-9)
+
+    def place(k: int, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pixels and exact places of sample k, and which are on the map."""
         d = k * step
-        fc, fr = d * sin[live] / grid.cell_x, d * cos[live] / grid.cell_y
-        tc, tr = col[live] + np.trunc(fc).astype(np.int64), row[live] - np.trunc(fr).astype(np.int64)
-        on = (tc >= 0) & (tc < grid.cols) & (tr >= 0) & (tr < grid.rows)
-        live, tc, tr, fc, fr = live[on], tc[on], tr[on], col[live][on] + fc[on], row[live][on] - fr[on]
-        if not len(live):
-            break
+        fc, fr = d * sin[rays] / grid.cell_x, d * cos[rays] / grid.cell_y
+        tc, tr = col[rays] + np.trunc(fc).astype(np.int64), row[rays] - np.trunc(fr).astype(np.int64)
+        return tr, tc, row[rays] - fr, col[rays] + fc, (tc >= 0) & (tc < grid.cols) & (tr >= 0) & (tr < grid.rows)
+
+    def seen(k: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rays whose sample k is on the map, the heights there."""
+        tr, tc, fr, fc, on = place(k, live)
+        live, tc, tr, fc, fr = live[on], tc[on], tr[on], fc[on], fr[on]
+        if read is not None:
+            read.append(len(live))
         h = z[tr - r0, tc - c0]
-        if p.bilinear:
+        if p.bilinear and len(live):
             ri, ci = np.floor(fr).astype(np.int64), np.floor(fc).astype(np.int64)
             inside = (ri >= 0) & (ri + 1 < grid.rows) & (ci >= 0) & (ci + 1 < grid.cols)
             a, b = ri[inside] - r0, ci[inside] - c0
             u, v = (fc - ci)[inside], (fr - ri)[inside]
             mixed = (1 - v) * ((1 - u) * z[a, b] + u * z[a, b + 1]) + v * ((1 - u) * z[a + 1, b] + u * z[a + 1, b + 1])
             h[inside] = np.where(np.isnan(mixed), h[inside], mixed)
+        return live, h
+
+    def sample(k: int, live: np.ndarray) -> np.ndarray:
+        """Takes sample k of the rays and returns those still on the map."""
+        d = k * step
+        live, h = seen(k, live)
         known = ~np.isnan(h)
         at, h = live[known], h[known]
         slope = (h - d * d * (1 / (2 * p.earth_radius)) - start[at]) / d
@@ -94,6 +144,53 @@ def walk(z: np.ndarray, r0: int, c0: int, cand: pd.DataFrame, grid: Grid, p: Sca
                 first[b, who[new]], rise[b, who[new]] = d, up[new]
             highest[who] = upto
         before[at] = h
+        return live
+
+    def passed(k: int, size: int, rays: np.ndarray) -> np.ndarray:
+        """Which rays need no sample of k .. k + size - 3, and know the next; their counts are added."""
+        block, above, below = heights.levels[size]
+        _, _, fr, fc, _ = place(k, rays)
+        _, _, gr, gc, on = place(k + size - 2, rays)
+        i, j = ((np.floor(np.minimum(x, y)).astype(np.int64) - at) // block for x, y, at in ((fr, gr, r0), (fc, gc, c0)))
+        on &= (i >= 0) & (j >= 0) & (i < above.shape[0]) & (j < above.shape[1])
+        i, j, near, far = np.where(on, i, 0), np.where(on, j, 0), k * step, (k + size - 3) * step
+        high, low = above[i, j] - start[rays], below[i, j] - start[rays]
+        # slack for the rounding of interpolated heights
+        high = np.maximum(high / near, high / far) - near / (2 * p.earth_radius) + 1e-9
+        low = np.minimum(low / near, low / far) - far / (2 * p.earth_radius) - 1e-9
+        reached = np.searchsorted(edges, high, side="right")
+        ok = on & (reached <= highest[rays]) & (reached == np.searchsorted(edges, low, side="right"))
+        count[reached[ok & (reached > 0)] - 1, rays[ok & (reached > 0)]] += size - 2
+        above_top = ok & (high > top[rays])
+        if above_top.any():
+            later.append((k, size, rays[above_top], high[above_top]))
+        return ok
+
+    def go(k: int, size: int, rays: np.ndarray) -> np.ndarray:
+        """Samples k .. k + size - 1."""
+        if size > SPLIT and k + size - 1 <= last and len(rays):
+            ok = passed(k, size, rays)
+            done, rays = sample(k + size - 1, sample(k + size - 2, rays[ok])), rays[~ok]
+        else:
+            done = rays[:0]
+        part = size // SPLIT if size > SPLIT else 1
+        for at in range(k, min(k + size, last + 1), part):
+            if not len(rays):
+                break
+            rays = go(at, part, rays) if part > 1 else sample(at, rays)
+        return np.concatenate([done, rays])
+
+    later: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    live = np.nonzero(~np.isnan(start))[0]
+    for k in range(1, last + 1, STRETCH):
+        if not len(live):
+            break
+        live = go(k, STRETCH, live)
+    for k, size, rays, high in later:
+        rays = rays[high > top[rays]]
+        for at in range(k, k + size - 2) if len(rays) else ():
+            on, h = seen(at, rays)
+            top[on] = np.fmax(top[on], (h - (at * step) ** 2 * (1 / (2 * p.earth_radius)) - start[on]) / (at * step))
     column = np.cumsum(count[::-1], axis=0)[::-1][: p.bins]  # samples at or above each edge
     theta = np.radians([p.theta(b) for b in range(p.bins)])[:, None]
     ok = accepted(first, rise, column * step / np.cos(theta) * p.rock_density * 0.1, p) & ~np.isnan(start)[None, :]
@@ -190,7 +287,8 @@ def observables(candidates: DataFrame, dem: DataFrame, grid: Grid, p: ScanParams
         z = np.full(((min(kr + span_r, last_r) - a + 1) * size, (min(kc + span_c, last_c) - b + 1) * size), np.nan)
         for tr, tc, at, pixels in zip(land["tr"], land["tc"], land["at"], land["pixels"], strict=True):
             z[(tr - a) * size : (tr - a + 1) * size, (tc - b) * size : (tc - b + 1) * size] = unpacked(at, pixels, size)
-        return pd.concat([walk(z, a * size, b * size, part, grid, p) for part in _parts(cand)])
+        heights = Heights(z, grid, p.step_m(grid))
+        return pd.concat([walk(heights, a * size, b * size, part, grid, p) for part in _parts(cand)])
 
     return placed.groupBy("region", "kr", "kc").cogroup(around.groupBy("land_region", "land_kr", "land_kc")).applyInPandas(scan, KIND)
 

@@ -34,6 +34,32 @@ def test_bulk_scan_equals_the_join(spark):
                 assert x == y or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9), (key, col, x, y)
 
 
+def test_rays_pass_over_ground_that_changes_nothing(spark):
+    """Samples are saved, and the results are those of all samples."""
+    import numpy as np
+    import pandas as pd
+
+    n = 300
+    grid, c = Grid(30.7, 29.1, n, n), np.arange(n)
+    z = np.repeat((500.0 + np.maximum(c - 110, 0) * 4.0 + 2500.0 * np.exp(-((c - 40.0) ** 2) / (2 * 25.0**2)))[None, :], n, 0)
+    z += np.sin(np.arange(n))[:, None] * 3
+    z[50:52, 70:90] = np.nan
+    cand = pd.DataFrame([("a", r * n + x, r, x, 265.0 + r % 9) for r in range(3, n, 23) for x in range(5, n, 13)], columns=["region", "cand_id", "r", "c", "aspect"])
+    narrow = scan.ScanParams(elev_min=-3, elev_max=3, bins=12, azimuths=5, half_width=60, max_range=7_000, min_dist=500, max_dist=7_000, bilinear=True)
+    wide = scan.ScanParams(elev_min=-20, elev_max=20, bins=8, azimuths=4, half_width=None, max_range=7_000, min_dist=500, max_dist=7_000, step=45.0)
+    rolling = 1000.0 + 5 * np.sin(c / 20.0)[None, :] + 5 * np.cos(c / 30.0)[:, None]
+    level = scan.ScanParams(elev_min=-17.5, elev_max=22.5, bins=8, azimuths=4, half_width=None, max_range=7_000, min_dist=500, max_dist=7_000)
+    for share, ground, p in ((1.0, z, narrow), (1.0, z, wide), (0.8, rolling, level)):
+        few, every = [], []
+        got = bulk_scan.walk(bulk_scan.Heights(ground, grid, p.step_m(grid)), 0, 0, cand, grid, p, few)
+        none = bulk_scan.Heights(ground, grid, p.step_m(grid))
+        none.levels = {k: (size, np.full_like(a, np.inf), np.full_like(b, -np.inf)) for k, (size, a, b) in none.levels.items()}
+        want = bulk_scan.walk(none, 0, 0, cand, grid, p, every)
+        pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-12)
+        assert sum(few) < share * sum(every), (sum(few), sum(every))
+        assert got["cells"].sum() > 100 or share < 1
+
+
 def test_search_finds_both_flanks_of_a_valley(spark):
     n = 90
     grid = Grid(30.7, 29.1, n, n)
