@@ -38,12 +38,12 @@ def compose(parts: dict[str, Column], mode: str = "product", weights: dict[str,
     """Product (weights are exponents), mean (linear weights) or min; weight 0 leaves a part out."""
     weight = {n: float((weights or {}).get(n, 1.0)) for n in parts}
     if mode not in ("product", "mean", "min"):
-        raise ValueError(f"unknown composition mode {mode!r}")
+        raise ValueError(f"scores cannot be joined by {mode!r}: use product, mean or min")
     if any(w < 0 for w in weight.values()):
-        raise ValueError("negative weight")
+        raise ValueError("a weight below zero has no meaning")
     kept = {n: clip(c) for n, c in parts.items() if weight[n] > 0}
     if not kept:
-        raise ValueError("at least one component must keep a positive weight")
+        raise ValueError("nothing to join: all weights are zero")
     if mode == "min":
         return F.least(*kept.values()) if len(kept) > 1 else next(iter(kept.values()))
     if mode == "mean":

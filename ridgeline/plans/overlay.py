@@ -226,7 +226,7 @@ def store(spark: SparkSession, sf: str) -> str:
 @query("runs_catalogue", f"""with {MASKS}, n as (select run as mask, count(*) as pixels from masks group by run),
     s(run, mask, prefix, dem, status) as (values ('gentle', 'gentle', 'search', 'b/high.dem', 'ok'), ('steep', 'steep', 'older', 'b/high.dem', 'ok'), ('south', 'south', 'search', null, 'ok'),
       ('bent', 'gentle', 'search', 'b/high.dem', 'not six terms'), ('bare', 'steep', null, null, 'no results'))
-    select run, prefix, pixels, case when prefix is not null then length(run) end as capacity, dem, status, case when status = 'ok' then round({LON}, 6) end as west from s join n using (mask)""")
+    select run, prefix, pixels, case when prefix is not null then length(run) end as capacity, dem, status, case when status = 'ok' then cast({LON} as double) end as west from s join n using (mask)""")
 def runs_catalogue(spark, sf):
     dems = spark.createDataFrame([("high.dem", "b/high.dem"), ("high.dem", "c/high.dem"), ("low.dem", "b/low.dem")], "name string, location string")
     found = run_store.catalogue(spark, store(spark, sf), PREFIXES, dems)
