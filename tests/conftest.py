@@ -12,7 +12,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', 2)}]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', 8)}]").appName("tests").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
