@@ -88,6 +88,7 @@ COLUMNS = {
     "op6_quality": {"doc_id", "score"}, "op7_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op8_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+    "op11_line_dedup": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
 }
 
 
