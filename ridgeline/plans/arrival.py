@@ -184,7 +184,7 @@ def fresnel_clearance(spark, sf):
     return o.select("cand_id", F.round("best_clearance_ratio", 5).alias("best_clearance_ratio"))
 
 
-@query("rfi_exposure", f"""with {CAND}, src as (select s_suppkey * 37 % w.w as zr, s_suppkey * 61 % w.w as zc, 1.0 + s_suppkey as weight from supplier, w where s_suppkey < 10),
+@query("rfi_exposure", f"""with {CAND}, src as (select s_suppkey * 37 % w.w as zr, s_suppkey * 61 % w.w as zc, 1.0 + s_suppkey as weight from supplier, w),
     lit as (select src.*, z as zs from src join dem on r = zr and c = zc where z is not null),
     pair as (select *, sqrt((zr - r) * {CY} * ((zr - r) * {CY}) + (zc - c) * {CX} * ((zc - c) * {CX})) as dist from cand, lit where z0 is not null),
     far as (select *, cast(trunc(dist / {ST}) as bigint) as steps from pair where dist >= 1),
@@ -194,6 +194,6 @@ def fresnel_clearance(spark, sf):
     s as (select cand_id, sum(weight / (dist * dist)) as x from far where (cand_id, zr, zc) not in (select (cand_id, zr, zc) from blocked) group by cand_id)
     select cand_id, round(coalesce(x, 0), 9) as rfi_exposure from cand left join s using (cand_id)""")
 def rfi_exposure(spark, sf):
-    src = fixtures.circles(spark, sf).where("zone_id < 10").select("zr", "zc", (1.0 + F.col("zone_id")).alias("weight"))
+    src = fixtures.circles(spark, sf).select("zr", "zc", (1.0 + F.col("zone_id")).alias("weight"))
     o = A.rfi_exposure(candidates(spark, sf), fixtures.dem(spark, sf), src, fixtures.grid(spark, sf), ST)
     return o.select("cand_id", F.round("rfi_exposure", 9).alias("rfi_exposure"))
