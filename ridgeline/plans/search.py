@@ -14,7 +14,7 @@ from ridgeline.operators import explain as X
 from ridgeline.operators import masks as K
 from ridgeline.operators import screening as S
 from ridgeline.operators import sites as G
-from ridgeline.plans.arrival import FIELD, candidates
+from ridgeline.plans.arrival import BINS, BX, BY, BZ, FIELD, candidates
 from ridgeline.plans.base import query
 from ridgeline.sources import fixtures
 from ridgeline.sources.fixtures import Grid
@@ -204,6 +204,19 @@ def search_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sweep(fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIXTURE, changes, surroundings(spark, sf))
 
 
-@query("bulk_scan")
+#: Places that observables of a scan are rounded to.
+PLACES = {"solid_angle_sr": 8, "mean_distance_m": 4, "max_depth_gcm2": 3, "mean_depth_gcm2": 3, "horizon_deg": 6, "target_slope_deg": 6, "geomag_solid_angle_sr": 8,
+          "path_grammage_gcm2": 6, "earth_chord_gcm2": 0}
+
+
+@query("bulk_scan", f"""with {BINS}, g as (select *, sin(radians(azimuth)) * cos(radians(theta)) * {BX} + cos(radians(azimuth)) * cos(radians(theta)) * {BY} + sin(radians(theta)) * {BZ} as dot from ok),
+    o as (select cand_id, count(*) as cells, sum(omega) as solid_angle_sr, avg(d_hit) as mean_distance_m, max(depth) as max_depth_gcm2, avg(depth) as mean_depth_gcm2,
+        avg(degrees(atan(rise))) as target_slope_deg, sum(omega * sqrt(greatest(0.0, 1 - dot * dot))) as geomag_solid_angle_sr,
+        avg(1.225 * exp(-z0 / 8400.0) * 8400.0 / sin(radians(theta)) * (1 - exp(-d_hit / cos(radians(theta)) * sin(radians(theta)) / 8400.0)) * 0.1) as path_grammage_gcm2,
+        avg(case when theta < 0 then 2 * 6371000.0 * sin(radians(-theta)) * 265.0 else 0 end) as earth_chord_gcm2 from g group by cand_id),
+    h as (select cand_id, degrees(atan(max(top))) as horizon_deg from tops group by cand_id)
+    select 'a' as region, cand_id, coalesce(cells, 0) as cells, {", ".join(f"round(coalesce({c}, 0), {n}) as {c}" for c, n in PLACES.items())}, z0 as altitude_m
+    from cand left join o using (cand_id) left join h using (cand_id)""")
 def bulk(spark: SparkSession, sf: str) -> DataFrame:
-    return bulk_scan.observables(candidates(spark, sf), fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIELD)
+    o = bulk_scan.observables(candidates(spark, sf), fixtures.dem(spark, sf), fixtures.grid(spark, sf), FIELD)
+    return o.select("region", "cand_id", "cells", *[F.round(c, n).alias(c) for c, n in PLACES.items()], "altitude_m")
