@@ -54,16 +54,52 @@ def test_quality_logit_is_the_sum_of_its_parts():
     assert abs(model.logit(quality.text_view(row)) - content - sum(model.weight[i] for i in at(marks)) - model.weight[-1]) < 1e-9
 
 
-def test_quality_pseudo_labels_are_the_surest_rows_of_the_whole_table(spark, docs_of):
+def test_quality_pseudo_labels_are_the_surest_rows_of_the_whole_table(spark, docs_of, monkeypatch):
+    """Two rounds against a sort, with a third of the rows copies of few; then the mean of the shards' models against plain training."""
+    monkeypatch.setattr(quality, "SHARD_ROWS", 4)
     rng, cols = np.random.default_rng(4), ["text", "source", "lang", "n_chars"]
-    pool = docs_of([(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 8)), "en", f"s{i}") for i in range(200)])
+    pool = docs_of([(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 8)), "en", f"s{i}") for i in range(200)] + [(300, "word " * 30_000, "en", None), (301, None, None, "s1")])
     copies = pool.where("doc_id % 3 = 0").selectExpr("explode(sequence(1000, 1099)) as doc_id", *cols)
-    views = [quality.Logistic(rng.normal(size=(1 << quality.BITS) + 1) * 4) for _ in quality.VIEWS]
-    rows = [tuple(r[c] for c in cols) for r in pool.orderBy("doc_id").collect()]
-    choose, plain = quality.surest_in(pool.unionByName(copies.select(pool.columns)), cols, []), quality.surest_of(rows)
+    keyed = {r["key"]: tuple(r[c] for c in cols) for r in pool.select(quality._key(cols).alias("key"), *cols).collect()}
+    table = quality.TablePool(pool.unionByName(copies.select(pool.columns)), cols, [min(keyed)], 0.1)
+    left, want = {k: r for k, r in keyed.items() if k != min(keyed)}, set()
     for _ in range(2):
-        got, want = choose(views, 9, 6), plain(views, 9, 6)
-        assert [sorted(x, key=repr) for x in got] == [sorted(x, key=repr) for x in want] and all(want)
+        views = [quality.Logistic(rng.normal(size=(1 << quality.BITS) + 1) * 4) for _ in quality.VIEWS]
+        table.choose(views, 0.4)
+        gone = set()
+        for k, view in enumerate(quality.VIEWS):
+            place = {key: (quality._step(views[k].logit(view(r))), key % (1 << 64) >> 48) for key, r in left.items()}
+            low = sorted((x for x in place if place[x][0] < -2 * quality.STEPS), key=place.get)[: 20 - 8]
+            high = sorted((x for x in place if place[x][0] >= 2 * quality.STEPS), key=lambda x: (-place[x][0], place[x][1]))[:8]
+            want |= {(x, 1 - k, y) for y, found in ((0, low), (1, high)) for x in found}
+            gone |= {*low, *high}
+        left = {k: r for k, r in left.items() if k not in gone}
+        got = table.chosen.collect()
+        assert len(got) == len(want) > 20 and {(r["key"], r["view"], r["y"]) for r in got} == want
+    marked = [(quality.example(r), i % 2) for i, r in enumerate(list(keyed.values())[:30])]
+    for k, model in enumerate(table.trained(marked)):
+        own = sorted((x, y) for x, view, y in want if view == k)
+        n = -(-len(own) // 4)
+        frame = spark.createDataFrame([(x,) for x, _ in own], "key long")
+        shard = {r["key"]: r["s"] for r in frame.selectExpr("key", f"pmod(xxhash64(key, 6), {n}) as s").collect()}
+        plain = [quality.Logistic().fit([x[k] for x, _ in marked] + [quality.VIEWS[k](keyed[x]) for x, _ in own if shard[x] == s],
+                                        [y for _, y in marked] + [y for x, y in own if shard[x] == s]).weight for s in sorted(set(shard.values()))]
+        assert len(plain) > 1 and np.allclose(model.weight, np.mean(plain, axis=0), atol=1e-9)
+
+
+def test_quality_pool_grows_with_the_table_and_holds_long_texts(spark, docs_of, monkeypatch):
+    keep = quality.TablePool.choose
+    rows = [(i, f"fine words of number {i} and {i * 7}, well put." if i % 2 else f"junk!! {i} " * 9, "en", f"s{i % 2}") for i in range(400)] + [(900, "junk!! " * 40_000, "en", "s0")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 1)] * 200, "doc_id long, quality int")
+    sizes = []
+    for n in (200, 1000):
+        docs, made = docs_of(rows[:n]), []
+        monkeypatch.setattr(quality.TablePool, "choose", lambda self, *a: (keep(self, *a), made.append(self.chosen.count()))[0])
+        model = quality.fit(docs, labels, docs, share=0.1)
+        sizes.append(made[-1])
+        text, lang, source = rows[301][1:]
+        assert model.scores((text, source, lang, len(text)))[0] > 0.5 > model.scores((rows[-1][1], "s0", "en", 280_000))[0]
+    assert sizes[1] > 1.5 * sizes[0] > 0
 
 
 def held(spark, query, label):
