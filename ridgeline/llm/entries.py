@@ -33,7 +33,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out(F.col("doc_id"), 3, 1)
     model = language_id.fit(docs.where(~held))
     found = docs.select("doc_id", held.alias("held_out"), language_id.identify(model, F.col("text")).alias("f"))
-    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"), F.col("f.rejected").alias("rejected"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"), F.col("f.rejected").alias("rejected"), F.lit(model.levelled).alias("levelled"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

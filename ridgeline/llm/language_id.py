@@ -2,16 +2,17 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (letters lower-cased, all
 other ASCII a blank); a linear softmax reads the language from it. Embeddings and softmax are
-trained together by stochastic gradient descent in numpy, on a bounded hash sample of labelled
-rows (`train_rows`, texts of at most `train_chars` characters). A part of the sample that the
-descent does not see sets the temperature, so that scores are calibrated.
+trained together by stochastic gradient descent in numpy, on a bounded hash sample of labelled rows: of each language
+an equal part of `train_rows`, but at most half of its rows and at least one, so rare languages are learnt however large the table.
+Texts of any length teach: tasks reduce them to shares of buckets, and only these reach the driver. Copies of a text teach once. A part
+of the sample that the descent does not see sets the temperature, so that scores are calibrated.
 
 A text is rejected for either of two figures: the score, and how typical its n-grams are (the mean
 logarithm of their shares in the sample), which is low for gibberish and for languages never seen,
 where a softmax may still be sure. All labelled rows outside the sample, scored whole in Spark,
 set both levels: at most `reject_rate` of known texts fall below one or the other. The levels are
-conformal: with fewer than 2 / `reject_rate` such rows none is rejected for its figures. If the
-labelled rows are at least four times as many, at most half of them are sampled, so that levels exist.
+conformal: below 2 / `reject_rate` such rows they promise nothing, so none is rejected for its figures and
+the model is not `levelled`.
 
 For scoring the two layers and the shares are one table of buckets, broadcast (0.5 MB).
 
@@ -31,8 +32,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hash_sample, in_hash_sample
-
 BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (2, 3, 4)
@@ -40,6 +39,8 @@ SLICE = 1 << 20
 #: Steps of the figures that set the rejection levels.
 STEPS = 1 << 12
 UNKNOWN = "und"
+#: Least number of steps of the descent.
+LEAST_STEPS = 2500
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -67,6 +68,11 @@ class Model:
     level: float = 0.0
     typical_level: float = -np.inf
 
+    @property
+    def levelled(self) -> bool:
+        """Whether there were rows enough to set a rejection level."""
+        return self.level > 0 or self.typical_level > -np.inf
+
     def figures(self, text: str | None) -> tuple[str, float, float]:
         """Language, calibrated score, and how typical the text is."""
         if not text or not self.langs or not _LETTER.search(text):
@@ -90,22 +96,35 @@ class Model:
         return lang, score, self.rejects(score, typical)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, reject_rate: float = 1e-3, seed: int = 7) -> Model:
+Example = tuple[np.ndarray, np.ndarray, str]  # buckets, their shares, language
+
+
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and their shares; a slice at a time, so long texts need no room."""
+    count = np.zeros(BUCKETS, dtype=np.int64)
+    for part in subwords(text):
+        count += np.bincount(part, minlength=BUCKETS)
+    bucket = np.flatnonzero(count)
+    return bucket, (count[bucket] / max(count.sum(), 1)).astype(np.float32)
+
+
+def train(rows: list[tuple[str, str]], **settings: float) -> Model:
     """`rows`: (text, language)."""
-    rows = [(t, lang) for t, lang in rows if t and _LETTER.search(t)]
-    langs = sorted({lang for _, lang in rows})
+    return train_examples([(*shares(t), lang) for t, lang in rows if t and _LETTER.search(t)], **settings)
+
+
+def train_examples(rows: list[Example], epochs: int = 5, rate: float = 0.5, reject_rate: float = 1e-3, seed: int = 7) -> Model:
+    langs = sorted({lang for *_, lang in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    examples = []
-    for text, lang in rows:
-        parts = list(subwords(text))
-        bucket, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, int), np.zeros(0))
-        examples.append((bucket, count / max(count.sum(), 1), langs.index(lang)))
+    number = {lang: k for k, lang in enumerate(langs)}
+    examples = [(bucket, share.astype(np.float64), number[lang]) for bucket, share, lang in rows]
     order = rng.permutation(len(examples))
     held = order[: len(order) // 5] if len(order) >= 50 else order
     seen = order[len(order) // 5 :] if len(order) >= 50 else order
     emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
+    epochs = max(epochs, -(-LEAST_STEPS // len(seen)))
     scale, steps, total = 40.0, 0, epochs * len(seen)  # an average of many buckets moves slowly
     for _ in range(epochs):
         for i in rng.permutation(seen):
@@ -121,10 +140,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, rejec
             bias -= 0.05 * step * g
             emb[bucket] -= step * scale * value[:, None] * back[None, :]
             steps += 1
-    shares = np.full(BUCKETS, 0.01)
+    common = np.full(BUCKETS, 0.01)
     for i in seen:
-        np.add.at(shares, examples[i][0], examples[i][1])
-    model = Model(langs, np.column_stack([emb @ soft, np.log(shares / shares.sum())]).astype(np.float32), bias)
+        np.add.at(common, examples[i][0], examples[i][1])
+    model = Model(langs, np.column_stack([emb @ soft, np.log(common / common.sum())]).astype(np.float32), bias)
     means = np.array([examples[i][1] @ model.table[examples[i][0]] for i in held])
     z, y = means[:, :-1] + bias, np.array([examples[i][2] for i in held])
 
@@ -141,19 +160,39 @@ def train(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, rejec
     return model
 
 
+def in_sample(counts: dict[str, int], train_rows: int) -> Column:
+    """Whether a row (id, text, lang) is in the training sample, by a hash of id and text; `counts` are rows by language."""
+    part = train_rows // max(len(counts), 1)
+    bounds = [F.when(F.col("lang") == lang, F.lit(int(max(min(part, n // 2), 1) / n * (1 << 40)))) for lang, n in sorted(counts.items()) if n > 1]
+    hashed = F.pmod(F.xxhash64("id", "text", F.lit(4)), F.lit(1 << 40))
+    return hashed < F.coalesce(*bounds, F.lit(1 << 40))  # the only row of a language is in
+
+
+def sampled(rows: DataFrame, inside: Column) -> list[Example]:
+    """The sample of `rows(id, text, lang)` as bucket shares, at most 96 KB a row; equal texts of a language once."""
+
+    @F.pandas_udf("bucket binary, share binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shares(t) if _LETTER.search(t) else (np.zeros(0, int), np.zeros(0, np.float32)) for t in texts]
+            yield pd.DataFrame([(b.astype("<u2").tobytes(), v.astype("<f4").tobytes()) for b, v in found], columns=["bucket", "share"])
+
+    taken = rows.where(inside).select("lang", F.xxhash64("text").alias("key"), of("text").alias("x"))
+    one = taken.groupBy("lang", "key").agg(F.first("x").alias("x")).where("length(x.bucket) > 0").orderBy("lang", "key")
+    return [(np.frombuffer(r["x"]["bucket"], "<u2").astype(np.int64), np.frombuffer(r["x"]["share"], "<f4"), r["lang"]) for r in one.toLocalIterator()]
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5000,
-        train_chars: int = 20_000, reject_rate: float = 1e-3) -> Model:
+        reject_rate: float = 1e-3) -> Model:
+    """About `train_rows` rows are learnt from, or one for each language if these are more; the number of languages is taken to be bounded."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    short = F.length("text") <= train_chars
-    n, every = rows.agg(F.count_if(short), F.count(F.lit(1))).first()
-    bound = min(train_rows, every // 2) if every >= 4 / reject_rate else train_rows
-    sample = hash_sample(rows.where(short), F.col("id"), bound, 4, n)
-    model = train([(r["text"], r["lang"]) for r in sample.collect()], reject_rate=reject_rate)
-    if model.langs and every > 2 / reject_rate:
-        outside = rows.where(~(short & in_hash_sample(F.col("id"), bound, 4, n)))
-        levels = rejection_levels(model, outside, reject_rate)
-        model.level, model.typical_level = levels.get("score", model.level), levels.get("typical", model.typical_level)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    inside = in_sample(counts, train_rows)
+    model = train_examples(sampled(rows, inside), reject_rate=reject_rate)
+    if model.langs:
+        levels = rejection_levels(model, rows.where(~inside), reject_rate)
+        model.level, model.typical_level = levels.get("score", 0.0), levels.get("typical", -np.inf)
     return model
 
 

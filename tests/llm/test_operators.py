@@ -174,6 +174,24 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r["rejected"] for r in rows]) < 0.005
 
 
+def test_language_sample_holds_rare_languages_long_texts_and_no_copies(spark, docs_of):
+    rng = np.random.default_rng(8)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts, 3)) for _ in range(n))
+    many = [(i, make(["the", "ing", "and", "er"], 12), "en") for i in range(3000)] + [(None, "the same text anding", "en")] * 1000
+    rare = [(9000 + i, make(["sch", "ung", "ein", "ö"], 12_000), "de") for i in range(4)] + [(9500, "solo los niños", "es")]
+    rows = docs_of(many + rare).selectExpr("doc_id as id", "text", "lang").repartition(7)
+    inside = language_id.in_sample({"en": 4000, "de": 4, "es": 1}, 600)
+    found = language_id.sampled(rows, inside)
+    by = {lang: sum(x[2] == lang for x in found) for lang in ("en", "de", "es")}
+    assert 100 < by["en"] < 300 and by["es"] == 1 and by["de"] <= 4
+    assert rows.where(inside).count() + rows.where(~inside).count() == 4005
+    model = language_id.fit(docs_of(many + rare), train_rows=600)
+    assert {"en", "es"} <= set(model.langs) and model.figures("theinganding erand")[0] == "en" and model.levelled
+    bucket, share = language_id.shares(rare[0][1])
+    grams = np.concatenate(list(language_id.subwords(rare[0][1])))
+    assert abs(share.sum() - 1) < 1e-4 and set(bucket) == set(grams.tolist())
+
+
 def plain_figures(model, text):
     """The score without slices or tables: every byte n-gram by itself."""
     raw = text.lower().encode().translate(language_id._BYTES)
