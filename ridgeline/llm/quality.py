@@ -25,6 +25,8 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,8 @@ SURE = 2
 STEPS, CLIP = 1 << 10, 35
 #: Pseudo-labels that a task trains with.
 SHARD_ROWS = 3000
+#: Keys that are broadcast at most, 8 bytes each.
+SENT_KEYS = 1_000_000
 Row = tuple[str | None, str | None, str | None, int | None]  # text, source, lang, n_chars
 
 
@@ -189,6 +193,11 @@ class Cut:
     step: int
     bucket: int = 0
 
+    def column(self) -> Column:
+        """`takes` over (key, s0, s1)."""
+        step = F.col(f"s{self.view}")
+        return (step > self.step if self.y else step < self.step) | ((step == self.step) & (F.shiftrightunsigned("key", 48) < self.bucket))
+
     def takes(self, step: int, bucket: int) -> bool:
         return (step > self.step if self.y else step < self.step) or (step == self.step and bucket < self.bucket)
 
@@ -211,8 +220,8 @@ class TablePool:
         self.rows = keyed.where(F.expr(f"key not in ({', '.join(map(str, given))})")) if given else keyed
         self.cols, self.share, self.quota, self.chosen = cols, share, None, None
 
-    def cuts(self, views: list[Logistic], rate: float) -> list[Cut]:
-        """One scan scores; from then on the rows are narrow, and counts of bounded size are collected."""
+    def cuts(self, views: list[Logistic], rate: float) -> tuple[list[Cut], DataFrame]:
+        """The cuts and the keys within them. One scan scores; from then on the rows are narrow, and counts of bounded size are collected."""
         z = _steps(views, *map(F.col, self.cols))
         one = written(self.rows.select("key", z.alias("z")).groupBy("key").agg(F.first("z.s0").alias("s0"), F.first("z.s1").alias("s1")), "quality-pool")
         if self.quota is None:
@@ -239,11 +248,14 @@ class TablePool:
                 own = sorted((r["bucket"], r["count"]) for r in ties if (r["view"], r["step"]) == (cut.view, cut.step))
                 at, _ = _reached(own, over[cut.view, cut.step])
                 cut.bucket = 1 << 16 if at is None else at
-        return cuts
+        return cuts, written(one.where(reduce(or_, [c.column() for c in cuts])).select("key"), "quality-keys")
 
     def choose(self, views: list[Logistic], rate: float) -> None:
-        """One more scan scores again and gives the features of the rows within the cuts, to the other view."""
-        cuts, cols = self.cuts(views, rate), self.cols
+        """One more scan gives the features of the rows within the cuts to the other view. Up to SENT_KEYS keys go to all
+        tasks, so only their rows are scored again; beyond that all are, with the same outcome."""
+        (cuts, keys), cols, rows = self.cuts(views, rate), self.cols, self.rows
+        if keys.count() <= SENT_KEYS:
+            rows = rows.join(F.broadcast(keys), "key", "left_semi")
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in batches:
@@ -255,7 +267,7 @@ class TablePool:
                             out.append((key, 1 - cut.view, cut.y, *_packed(x)[2 - 2 * cut.view :][:2]))
                 yield pd.DataFrame(out, columns=["key", "view", "y", "f", "v"])
 
-        found = self.rows.mapInPandas(of, "key long, view int, y int, f binary, v binary").dropDuplicates(["key", "view", "y"])
+        found = rows.mapInPandas(of, "key long, view int, y int, f binary, v binary").dropDuplicates(["key", "view", "y"])
         if self.chosen is not None:
             found = found.join(self.chosen.select("key").distinct(), "key", "left_anti").unionByName(self.chosen)
         self.chosen = written(found, "quality-pseudo")

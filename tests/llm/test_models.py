@@ -63,7 +63,8 @@ def test_quality_pseudo_labels_are_the_surest_rows_of_the_whole_table(spark, doc
     keyed = {r["key"]: tuple(r[c] for c in cols) for r in pool.select(quality._key(cols).alias("key"), *cols).collect()}
     table = quality.TablePool(pool.unionByName(copies.select(pool.columns)), cols, [min(keyed)], 0.1)
     left, want = {k: r for k, r in keyed.items() if k != min(keyed)}, set()
-    for _ in range(2):
+    for sent in (quality.SENT_KEYS, 0):
+        monkeypatch.setattr(quality, "SENT_KEYS", sent)
         views = [quality.Logistic(rng.normal(size=(1 << quality.BITS) + 1) * 4) for _ in quality.VIEWS]
         table.choose(views, 0.4)
         gone = set()
