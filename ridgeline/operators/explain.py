@@ -198,19 +198,30 @@ def compare_regions(runs: DataFrame, baseline: str) -> DataFrame:
     return rows.select("region", *[F.expr(f"try_divide(try_divide({c}, dem_pixels), base_{c})").alias(f"{c}_ratio") for c in counts])
 
 
+#: The four sides of a box.
+SIDES = ("south", "north", "west", "east")
+#: Shares of the boxes that meet their partners, each in a task of its own.
+PAIR_SHARES = 64
+
+
 def box_overlaps(boxes: DataFrame) -> DataFrame:
-    """Pairs of overlapping boxes (name, south, north, west, east) with the ground they share in km2. Boxes
-    meet in the cells of a one-degree grid that they touch; a pair counts in its overlap's first cell."""
+    """Pairs of overlapping boxes (name, south, north, west, east) with the ground they share in km2. Equal boxes are compared
+    once: different extents meet in the cells of a one-degree grid that they touch, a pair counting in its overlap's first cell, and
+    names are joined to the pairs of extents found. A list of boxes is small in bytes, so it is dealt out by number of shares."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
-    placed = boxes.withColumn("gy", cells(F.col("south"), F.col("north"))).withColumn("gx", cells(F.col("west"), F.col("east")))
+    extents = boxes.select(*SIDES).distinct()
+    placed = extents.withColumn("gy", cells(F.col("south"), F.col("north"))).withColumn("gx", cells(F.col("west"), F.col("east")))
     a, b = placed.alias("a"), placed.alias("b")
     south, north = F.greatest("a.south", "b.south"), F.least("a.north", "b.north")
     west, east = F.greatest("a.west", "b.west"), F.least("a.east", "b.east")
     km2 = (north - south) * 110.6 * (east - west) * 111.32 * F.cos(F.radians((north + south) / 2))
     first = (F.col("a.gy") == F.floor(south)) & (F.col("a.gx") == F.floor(west))
-    return a.join(b, (F.col("a.gy") == F.col("b.gy")) & (F.col("a.gx") == F.col("b.gx")) & first & (F.col("a.name") < F.col("b.name")) & (F.col("a.south") < F.col("b.north")) & (F.col("b.south") < F.col("a.north")) &
-                  (F.col("a.west") < F.col("b.east")) & (F.col("b.west") < F.col("a.east"))).select(
-        F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), km2.alias("overlap_km2"))
+    found = a.join(b, (F.col("a.gy") == F.col("b.gy")) & (F.col("a.gx") == F.col("b.gx")) & first & (F.col("a.south") < F.col("b.north")) & (F.col("b.south") < F.col("a.north")) &
+                   (F.col("a.west") < F.col("b.east")) & (F.col("b.west") < F.col("a.east"))).select(
+        *[F.col(f"{x}.{s}").alias(f"{s}_{x}") for x in "ab" for s in SIDES], km2.alias("overlap_km2"))
+    named = lambda x: boxes.select(F.col("name").alias(f"name_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in SIDES])
+    partners = found.join(named("a"), [f"{s}_a" for s in SIDES]).select("name_a", *[f"{s}_b" for s in SIDES], "overlap_km2").repartition(PAIR_SHARES, "name_a")
+    return partners.join(named("b"), [f"{s}_b" for s in SIDES]).where("name_a < name_b").select("name_a", "name_b", "overlap_km2")
 
 
 def run_summary(funnels: DataFrame) -> DataFrame:
