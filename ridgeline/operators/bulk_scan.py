@@ -18,36 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import physics as P
+from ridgeline.operators.profiles import tile_size, tiles, unpacked
 from ridgeline.operators.scan import OBSERVED, ScanParams
 from ridgeline.sources.fixtures import Grid
 
 KIND = "region string, cand_id long, r int, c int, " + ", ".join(f"{o} {'long' if o == 'cells' else 'double'}" for o in OBSERVED) + ", altitude_m double"
 
 
-def tiles(dem: DataFrame, size: int) -> DataFrame:
-    """(region, tr, tc, at array<int>, pixels array<double>): the known pixels of each tile with their
-    places in it, row by row; what is not listed is a void or off the map."""
-    known = dem.where("z is not null").select("region", F.expr(f"r div {size}").alias("tr"), F.expr(f"c div {size}").alias("tc"), F.struct(
-        ((F.col("r") % size) * size + F.col("c") % size).cast("int").alias("at"), F.col("z").cast("double").alias("z")).alias("p"))
-    packed = known.groupBy("region", "tr", "tc").agg(F.collect_list("p").alias("p"))
-    return packed.select("region", "tr", "tc", F.col("p.at").alias("at"), F.col("p.z").alias("pixels"))
-
-
-def unpacked(at: np.ndarray, pixels: np.ndarray, size: int) -> np.ndarray:
-    z = np.full(size * size, np.nan)
-    z[np.asarray(at)] = np.asarray(pixels)
-    return z.reshape(size, size)
-
-
-def tile_size(reach: int, least: int = 32, most: int = 1024) -> int:
-    """A power of two, at least two fifths of the reach of a ray in pixels: small enough to give many
-    tasks, large enough that a tile of terrain goes to 49 tiles of candidates at most (up to `most`)."""
-    size = least
-    while size < min(0.4 * reach - 8, most):
-        size *= 2
-    return size
-
-
 #: Samples of a ray that are judged together, and each into how many shorter stretches it falls.
 STRETCH, SPLIT = 64, 4
 
