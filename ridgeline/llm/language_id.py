@@ -198,10 +198,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def rejection_levels(model: Model, rows: DataFrame, reject_rate: float) -> dict[str, float]:
     """For each figure the largest step with at most reject_rate / 2 * (n + 1) of the n texts below it."""
-    figures = identify(model, F.col("text"))
-    found = rows.select(figures.alias("f")).where("f.score > 0")  # 0: no letter
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.floor(F.col(f"f.{k}") * STEPS).alias("step")) for k in ("score", "typical")]))
-    counts = found.select(each.alias("x")).groupBy("x.figure", "x.step").count().collect()  # at most STEPS + 16 * STEPS rows
+    counts = step_counts(model, rows).collect()  # at most STEPS + 16 * STEPS rows
     levels = {}
     for figure in ("score", "typical"):
         own = sorted((r["step"], r["count"]) for r in counts if r["figure"] == figure)
@@ -216,8 +213,16 @@ def rejection_levels(model: Model, rows: DataFrame, reject_rate: float) -> dict[
     return levels
 
 
+def step_counts(model: Model, rows: DataFrame) -> DataFrame:
+    """(figure, step, count) of the texts that have a letter."""
+    found = rows.select(identify(model, F.col("text")).alias("f")).where("f.score > 0")  # 0: no letter
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.floor(F.col(f"f.{k}") * STEPS).alias("step")) for k in ("score", "typical")]))
+    return found.select(each.alias("x")).groupBy("x.figure", "x.step").count()
+
+
 def identify(model: Model, text: Column) -> Column:
-    """The struct (lang, score, typical, rejected) of each text."""
+    """The struct (lang, score, typical, rejected) of each text. It counts as nondeterministic: a filter on it is then not
+    pushed below, where each text would be scored twice and each task would hold a second Python worker."""
 
     @F.pandas_udf("lang string, score double, typical double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -225,7 +230,7 @@ def identify(model: Model, text: Column) -> Column:
             found = [model.figures(t) for t in texts]
             yield pd.DataFrame([(*f, model.rejects(f[1], f[2])) for f in found], columns=["lang", "score", "typical", "rejected"])
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -74,10 +74,7 @@ class Golay:
     """Tables over the 2048 syndromes: error patterns of weight at most four."""
 
     def __init__(self) -> None:
-        words = np.arange(1 << 23, dtype=np.int64)
-        weight = np.bitwise_count(words)
-        light = words[weight <= 4]
-        light = light[np.argsort(np.bitwise_count(light), kind="stable")]
+        light = np.array([w for n in range(5) for w in sorted(sum(1 << b for b in bits) for bits in combinations(range(23), n))], dtype=np.int64)
         syndromes = self.syndrome(light)
         order = np.argsort(syndromes, kind="stable")
         starts = np.searchsorted(syndromes[order], np.arange(2048))

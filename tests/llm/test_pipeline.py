@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against plain Python, and the registered queries' contracts."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,3 +108,21 @@ def test_queries_return_their_columns_for_every_document(spark, sf_dir, name):
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == k)
         if "predicted" in got.columns:
             assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_levels_score_each_text_once(spark, sf_dir):
+    """A filter on the score beside the figures made two Python workers a task, each scoring every text."""
+    model = language_id.train([("the night and the water", "en"), ("der und die schule", "de")])
+    rows = entries.documents(spark, sf_dir).select("text")
+    counts = language_id.step_counts(model, rows)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    scored = [s for t in texts(entries.documents(spark, sf_dir)).values() if (s := model.figures(t)[1]) > 0]
+    assert sum(r["count"] for r in counts.collect() if r["figure"] == "score") == len(scored) > 50
+
+
+def test_golay_table_is_built_in_little_memory():
+    tracemalloc.start()
+    simhash.Golay()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6
