@@ -119,8 +119,8 @@ def train_examples(rows: list[Example], epochs: int = 5, rate: float = 0.5, reje
         return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     number = {lang: k for k, lang in enumerate(langs)}
-    examples = [(bucket, share.astype(np.float64), number[lang]) for bucket, share, lang in rows]
-    order = rng.permutation(len(examples))
+    label = [number[lang] for *_, lang in rows]
+    order = rng.permutation(len(rows))
     held = order[: len(order) // 5] if len(order) >= 50 else order
     seen = order[len(order) // 5 :] if len(order) >= 50 else order
     emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
@@ -128,7 +128,7 @@ def train_examples(rows: list[Example], epochs: int = 5, rate: float = 0.5, reje
     scale, steps, total = 40.0, 0, epochs * len(seen)  # an average of many buckets moves slowly
     for _ in range(epochs):
         for i in rng.permutation(seen):
-            bucket, value, y = examples[i]
+            bucket, value, y = rows[i][0], rows[i][1].astype(np.float64), label[i]  # of one text at a time
             hidden = value @ emb[bucket]
             z = hidden @ soft + bias
             g = np.exp(z - z.max())
@@ -142,10 +142,10 @@ def train_examples(rows: list[Example], epochs: int = 5, rate: float = 0.5, reje
             steps += 1
     common = np.full(BUCKETS, 0.01)
     for i in seen:
-        np.add.at(common, examples[i][0], examples[i][1])
+        np.add.at(common, rows[i][0], rows[i][1])
     model = Model(langs, np.column_stack([emb @ soft, np.log(common / common.sum())]).astype(np.float32), bias)
-    means = np.array([examples[i][1] @ model.table[examples[i][0]] for i in held])
-    z, y = means[:, :-1] + bias, np.array([examples[i][2] for i in held])
+    means = np.array([rows[i][1].astype(np.float64) @ model.table[rows[i][0]] for i in held])
+    z, y = means[:, :-1] + bias, np.array([label[i] for i in held])
 
     def probabilities(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -169,7 +169,8 @@ def in_sample(counts: dict[str, int], train_rows: int) -> Column:
 
 
 def sampled(rows: DataFrame, inside: Column) -> list[Example]:
-    """The sample of `rows(id, text, lang)` as bucket shares, at most 96 KB a row; equal texts of a language once."""
+    """The sample of `rows(id, text, lang)` as bucket shares, at most 96 KB a row; equal texts of a language once.
+    The driver holds six bytes a bucket in two buffers, which the examples are views of."""
 
     @F.pandas_udf("bucket binary, share binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -179,7 +180,14 @@ def sampled(rows: DataFrame, inside: Column) -> list[Example]:
 
     taken = rows.where(inside).select("lang", F.xxhash64("text").alias("key"), of("text").alias("x"))
     one = taken.groupBy("lang", "key").agg(F.first("x").alias("x")).where("length(x.bucket) > 0").orderBy("lang", "key")
-    return [(np.frombuffer(r["x"]["bucket"], "<u2").astype(np.int64), np.frombuffer(r["x"]["share"], "<f4"), r["lang"]) for r in one.toLocalIterator()]
+    bucket, share, ends, langs = bytearray(), bytearray(), [0], []
+    for r in one.toLocalIterator():
+        bucket += r["x"]["bucket"]
+        share += r["x"]["share"]
+        ends.append(len(share) // 4)
+        langs.append(r["lang"])
+    buckets, values = np.frombuffer(bucket, "<u2"), np.frombuffer(share, "<f4")
+    return [(buckets[a:b], values[a:b], lang) for a, b, lang in zip(ends, ends[1:], langs, strict=False)]
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 5000,
